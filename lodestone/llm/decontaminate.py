@@ -68,6 +68,19 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, i
     return sorted((item, places[a][0], places[b][1], b - a + 1) for item, own in runs.items() for a, b, _, _ in own)
 
 
+def _parts(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
+    """Items in parts of at most AUTOMATON_CHARS characters (or one item)."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    parts, size = [[]], 0
+    for row in items.sort("item_id", "text").toLocalIterator():
+        if size + len(row.text) > AUTOMATON_CHARS and parts[-1]:
+            parts.append([])
+            size = 0
+        parts[-1].append((row.item_id, row.text))
+        size += len(row.text)
+    return [tuple(p) for p in parts]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of benchmark items in texts: (doc_id, item_id, start_char, end_char, n_words).
 
@@ -79,17 +92,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     document ids kept; repeated documents give repeated rows, repeated items none; empty tables give no rows. Long texts
     are scanned whole; further columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    parts, size = [[]], 0
-    for row in items.sort("item_id", "text").toLocalIterator():
-        if size + len(row.text) > AUTOMATON_CHARS and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.item_id, row.text))
-        size += len(row.text)
     kind = docs.schema[id_col].dataType.simpleString()
     base, out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), None
-    for part in map(tuple, parts):
+    for part in _parts(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -109,10 +114,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     return out.withColumnRenamed("id", id_col)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents in which find() finds nothing, with all their columns. A null id can't be looked up and stays."""
-    leaks = find(docs, benchmark, **parameters).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, text_col: str = "text") -> DataFrame:
+    """The rows of docs in which find() finds nothing, with all their columns: one pass a part of the benchmark, without a shuffle."""
+    at_text = docs.columns.index(text_col)
+    for part in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine = automaton(shared.value, window, shortest)
+            for batch in batches:
+                texts = batch.column(at_text).to_pylist()
+                yield batch.filter(pa.array([not text or not len(machine) or next(machine.iter(f" {normalise(text)} "), None) is None for text in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 FIND_SQL = rf"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, licenses, token_store, warc
+from lodestone.llm import bpe, decontaminate, licenses, near_duplicates, quality, token_store, toxicity, warc
 from lodestone.llm.common import new_path, read
 
 
@@ -27,6 +27,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages(warc.read(files))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,10 +50,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_token_store, op4_warc, op9_decontaminate, op10_bpe)
+    f.__name__: f for f in (op1_license_scan, op3_token_store, op4_warc, op5_quality, op7_toxicity, op8_near_duplicates, op9_decontaminate, op10_bpe)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.scan_sql(),
     "op4_warc": "SELECT page_id, url, html FROM pages",
+    "op8_near_duplicates": near_duplicates.JOIN_SQL,
     "op9_decontaminate": decontaminate.FIND_SQL,
 }
