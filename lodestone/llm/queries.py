@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, licenses, near_duplicates, quality, token_store, toxicity, warc
+from lodestone.llm import bit_sliced, bpe, decontaminate, html_extract, licenses, near_duplicates, quality, token_store, toxicity, warc
 from lodestone.llm.common import new_path, read
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a store of all documents' tokens, then fetch every document by its key."""
     docs = read(spark, sf_dir, "documents")
@@ -32,6 +36,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -50,10 +59,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_token_store, op4_warc, op5_quality, op7_toxicity, op8_near_duplicates, op9_decontaminate, op10_bpe)
+    f.__name__: f
+    for f in (op1_license_scan, op2_top_k, op3_token_store, op4_warc, op5_quality, op6_html, op7_toxicity, op8_near_duplicates, op9_decontaminate, op10_bpe)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.scan_sql(),
+    "op2_top_k": bit_sliced.SEARCH_SQL,
     "op4_warc": "SELECT page_id, url, html FROM pages",
     "op8_near_duplicates": near_duplicates.JOIN_SQL,
     "op9_decontaminate": decontaminate.FIND_SQL,
