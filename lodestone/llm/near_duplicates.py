@@ -343,7 +343,8 @@ def verified(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, or
 def _similar(docs: DataFrame, threshold: float, gram: int, orders: int) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, set_id, check; similar: pairs of sets), both written."""
     sigs = materialise(signatures(docs, threshold, gram), "signatures")
-    similar = materialise(verified(sigs, candidates(sigs, threshold), threshold, orders), "similar")
+    pairs = materialise(candidates(sigs, threshold), "candidates")
+    similar = materialise(verified(sigs, pairs, threshold, orders), "similar")
     return sigs.select("doc_id", "set_id", "check").distinct(), similar
 
 
@@ -351,18 +352,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, orders
     """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: (doc_id_a, doc_id_b, jaccard), a < b.
 
     Exact: prefixes under ``orders`` global orders only rule out what can't be similar, and what passes all of them is compared in full (grams as
-    64-bit hashes, cut to 32 bits and a bucket). No number of partners is capped: equal sets are compared once and their pairs spelt out at the end.
+    64-bit hashes, cut to 32 bits and a bucket). No number of partners is capped: equal sets are compared once and their pairs spelt out at the end, without moving again.
     Documents with a null id or text, or without words, are similar to none. Rows with the same id and grams count as one; of an id with several
-    texts each is compared, and the best similarity of a pair is given. Ties need no rule, as all pairs are returned. An empty table gives none; further columns are ignored.
+    texts each is compared, and a pair of ids has a row for each similar pair of their texts, but none with itself. Ties need no rule, as all pairs are returned. An empty table gives none; further columns are ignored.
     """
     members, similar = _similar(docs, threshold, gram, orders)
-    left = members.select(F.col("set_id").alias("a"), F.col("doc_id").alias("x"))
-    right = members.select(F.col("set_id").alias("b"), F.col("doc_id").alias("y"))
+    lists = members.groupBy("set_id").agg(F.collect_list("doc_id").alias("ids"))
+    left, right = lists.toDF("a", "xs"), lists.toDF("b", "ys")
     score = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard")
-    apart = similar.join(left, "a").join(right, "b").select("x", "y", score)
-    same = members.select("set_id", "check", F.col("doc_id").alias("x")).join(members.select("set_id", "check", F.col("doc_id").alias("y")), ["set_id", "check"])
-    pairs = apart.where("x <> y").union(same.where("x < y").select("x", "y", F.lit(1.0).alias("jaccard")))
-    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    apart = similar.join(left, "a").join(right, "b").select(F.explode("xs").alias("x"), "ys", score).select("x", F.explode("ys").alias("y"), "jaccard")
+    copies = members.groupBy("set_id", "check").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)
+    same = copies.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("y"), F.lit(1.0).alias("jaccard"))
+    pairs = apart.where("x <> y").union(same)
+    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""Plans of the lodestone engine."""
+"""The query languages: from strings to plans."""
