@@ -445,7 +445,7 @@ def suggestion(spark, sf_dir):
 
 # sources
 
-_HTML = r"regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_HTML = r"regexp_replace(regexp_replace(html, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
 _REFERENCES = ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")
 
 

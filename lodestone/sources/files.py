@@ -25,7 +25,7 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 def html_text(text: Column) -> Column:
     """Text of a page: scripts, styles and tags give way to a space, references are resolved, runs of blanks become one."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "), r"(?s)<[^>]+>", " ")
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>", " "), r"(?s)<[^>]+>", " ")
     return F.regexp_replace(F.when(bare.contains("&"), unescape(bare)).otherwise(bare), _BLANKS, " ")
 
 
