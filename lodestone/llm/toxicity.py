@@ -18,8 +18,8 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     "contempt": ("scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "vermin", "filth"),
     "toxic": (),
 }
-#: Bounds of training: labelled documents (the first by hash of the id), words in the vocabulary, documents in which a word must occur, and its chi-square with the label over the number of documents.
-LABELLED, VOCABULARY, LEAST_DOCS, LEAST_GAIN = 8_000, 400, 8, 0.01
+#: Bounds of training: labelled documents (the first by hash of the id), words in the vocabulary besides the seeds, documents in which a word must occur, and its chi-square with the label (one in a million by chance, as many thousand words are tried).
+LABELLED, VOCABULARY, LEAST_DOCS, LEAST_CHI_SQUARE = 8_000, 400, 3, 24.0
 FOLDS, THRESHOLD, PENALTY = 5, 0.5, 0.1
 
 
@@ -85,7 +85,7 @@ def fit(x: np.ndarray, y: np.ndarray, categories: list[str], vocabulary: list[st
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, labelled: int = LABELLED, vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS) -> Chain:
     """Fit on at most ``labelled`` labelled documents, the first by hash of doc_id.
 
-    The vocabulary is the ``vocabulary`` words whose presence tells most about the label in that sample, counted there in full. A document with
+    The vocabulary is the categories' seed words and the ``vocabulary`` further words whose presence tells most about the label in that sample, counted there in full. A document with
     differing labels counts as toxic; null ids, texts and labels are no examples. Without examples the chain gives every text a probability of 0.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -107,10 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
         counts = sets.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count("label").alias("b")).where(F.col("b") >= least_docs)
         a, b = F.col("a"), F.col("b")
         gain = F.pow(a * F.lit(n) - b * F.lit(n1), 2) / (b * (F.lit(n) - b + 1) * F.lit(max(n1, 1)) * F.lit(max(n - n1, 1)))
-        chosen = [r.word for r in counts.where(gain >= LEAST_GAIN).sort(F.round(gain, 6).desc(), "word").limit(vocabulary).collect()]
+        seeds = sorted({s for group in categories.values() for s in group})
+        chosen = seeds + [r.word for r in counts.where((gain * n >= LEAST_CHI_SQUARE) & ~F.col("word").isin(seeds)).sort(F.round(gain, 6).desc(), "word").limit(vocabulary).collect()]
         number = {w: i for i, w in enumerate(chosen)}
-        seeds = sorted({s for group in categories.values() for s in group} - set(chosen))
-        listed = F.array(*map(F.lit, chosen + seeds)) if chosen or seeds else F.array().cast("array<string>")
+        listed = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
         rows = sets.select("doc_id", "label", F.array_intersect("words", listed).alias("words")).sort("doc_id").collect()
     finally:
         sets.unpersist()
