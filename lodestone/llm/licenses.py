@@ -58,9 +58,9 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
     repeated rows, an empty table none; further columns are ignored. Long texts are digested whole.
     """
     licenses = known(docs.sparkSession) if licenses is None else licenses
-    base = docs.select(docs[id_col].alias("id"), canonical_lines(docs[text_col]).alias("canon")).where(F.col("canon") != "")
-    lines = F.split("canon", "\n")
-    units = base.select("id", digest(F.col("canon")).alias("whole"), lines.alias("lines")).select(
+    base = docs.select(docs[id_col].alias("id"), canonical_lines(docs[text_col]).alias("canon"))
+    lines = F.split("canon", "\n")  # no filter on canon: pushed down, it would work out the canonical form a second time
+    units = base.select("id", F.when(F.col("canon") != "", digest(F.col("canon"))).alias("whole"), lines.alias("lines")).select(
         "id",
         F.posexplode(F.concat(F.array("whole"), F.when(F.size("lines") > 1, F.transform("lines", lambda x: F.sha2(x, 256))).otherwise(F.array().cast("array<string>")))).alias("line_no", "digest"),
     )
