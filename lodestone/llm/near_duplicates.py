@@ -96,7 +96,7 @@ def _ranked(tokens: np.ndarray, classes: np.ndarray, group: np.ndarray, order: i
 
 
 def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
-    """Documents in blocks, their grams by bucket: a row (bucket, block, tok, ref) for each, and one a block with ids, sizes and digests. A block's name depends on what it holds alone, so a repeated task gives the same."""
+    """Documents in blocks, their grams by bucket: a row (bucket, block, tok, ref) for each, and one a block with ids, sizes and digests. A block's name depends alone on what it holds, in its order, so a repeated task gives the same; so does a repeated block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, held = [], [], 0
@@ -107,7 +107,8 @@ def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
             ref = np.repeat(np.arange(len(sets)), sizes)
             edges = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             one, two = (np.add.reduceat(mix(grams, seed), edges) for seed in (4, 5))
-            name = int(mix(np.array([np.add.reduce(mix(np.array(ids, np.int64).view(np.uint64) + one, 6)) + np.uint64(len(ids))], np.uint64), 7).view(np.int64)[0])
+            rows_in_order = mix(mix(np.array(ids, np.int64).view(np.uint64) + one, 6) + np.arange(len(ids), dtype=np.uint64), 10)
+            name = int(mix(np.array([np.add.reduce(rows_in_order) + np.uint64(len(ids))], np.uint64), 7).view(np.int64)[0])
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             low = (grams >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((low, bucket))
@@ -156,10 +157,13 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM)
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def once(table: pa.Table) -> pa.Table:
+        """One row a block: blocks of one name hold the same rows in the same order, as where a file was read twice, and count as one."""
+        return table.take(pa.array(np.sort(np.unique(table["block"].to_numpy(), return_index=True)[1])))
+
     def count(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        told = table.filter(table["ids"].is_valid())
-        table = table.filter(table["tok"].is_valid())
+        told, table = (once(table.filter(table[c].is_valid())) for c in ("ids", "tok"))
         rows = [(b, bucket, i, n, s, c, None, None, None) for b, i, n, s, c in zip(*(told[c].to_pylist() for c in ("block", "ids", "sizes", "sets", "checks")))]
         if table.num_rows:
             toks, refs, blocks = _arrays(table["tok"], np.uint32), _arrays(table["ref"], np.uint16), table["block"].to_pylist()
@@ -179,7 +183,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM)
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "ids", "sizes", "sets", "checks", "tok", "ref", "cls"])
 
     def gather(table: pa.Table) -> pa.Table:
-        told = table.filter(table["ids"].is_valid()).slice(0, 1)
+        told = table.filter(table["ids"].is_valid())
         ids, sizes, sets, checks = (_arrays(told[c], k)[0] for c, k in (("ids", np.int64), ("sizes", np.int32), ("sets", np.int64), ("checks", np.int64)))
         table = table.filter(table["tok"].is_valid())
         empty = [np.zeros(0, np.uint64)]

@@ -63,6 +63,22 @@ def test_near_duplicates_against_all_pairs(spark, seed, threshold, orders):
     assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("again", ["same", "reversed"])
+def test_near_duplicates_of_a_repeated_block(spark, again):
+    rng, texts = np.random.default_rng(4), {}
+    for group in range(6):
+        base = [f"w{group}x{k}" for k in range(60)]
+        for copy in range(4):  # similarities between about 0.2 and 1
+            texts[group * 4 + copy] = " ".join(w if rng.random() > 0.08 * copy else f"n{rng.integers(10**6)}" for w in base)
+    rows = sorted(texts.items())
+    one, two = (spark.createDataFrame(spark.sparkContext.parallelize(r, 1), "doc_id long, text string") for r in (rows, rows if again == "same" else rows[::-1]))  # a block each
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in near_duplicates.join(one.union(two)).collect()}
+    want = similar(texts)
+    assert got.keys() == want.keys() and len(want) > 3 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    stay = one_of_each(texts)
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(one.union(two)).collect()) == sorted([*stay, *stay])
+
+
 def one_of_each(texts):
     """Ids that stay when the least of each connected group does."""
     root = {i: i for i in texts}
