@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import utf8
+from lodestone.llm.common import materialise, utf8
 
-#: Bounds of the training sample: trusted positives and unlabelled documents, the first by hash of the id.
-POSITIVES, UNLABELLED = 8_000, 8_000
+#: Bound of the trusted positives, the first by hash of the id; the unlabelled side is all documents.
+POSITIVES = 8_000
 NAMES = ("symbols", "marks", "upper", "digits", "spaces", "doubled", "word_length", "length", "newlines", "stops", "repeats")
 
 # Classes of bytes; letters are whatever is not ASCII, too.
@@ -76,61 +76,117 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
-    """Adam from zero."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, steps + 1):
-        g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+def _minimise(value, size: int, steps: int, tolerance: float = 1e-7) -> np.ndarray:
+    """Newton's method from zero within a trust region, with curvature taken as positive; value(w) gives value, gradient and Hessian, and is all that costs."""
+    w, radius = np.zeros(size), 1.0
+    now, gradient, hessian = value(w)
+    for _ in range(steps):
+        lengths, axes = np.linalg.eigh(hessian)
+        lengths, along = np.abs(lengths), axes.T @ gradient
+        low, high = 0.0, np.linalg.norm(gradient) / radius + 1e-12
+        move = lambda damping: -along / np.maximum(lengths + damping, 1e-12)
+        if np.linalg.norm(move(0.0)) > radius:
+            for _ in range(50):
+                low, high = (m, high) if np.linalg.norm(move(m := (low + high) / 2)) > radius else (low, m)
+            step = move(high)
+        else:
+            step = move(0.0)
+        hoped = -(along @ step + 0.5 * lengths @ step**2)
+        if hoped < tolerance:
+            break
+        then, g, h = value(w + axes @ step)
+        if then < now:
+            radius *= 2 if now - then > 0.5 * hoped else 1
+            w, now, gradient, hessian = w + axes @ step, then, g, h
+        else:
+            radius = min(radius, np.linalg.norm(step)) / 4
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, confidence: float = 0.1) -> float:
-    """Share of positives among the unlabelled rows.
+def _mean_sigmoid(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows of sigmoid(x @ w), its gradient and its Hessian, in one vector."""
+    s = _sigmoid(x @ w)
+    d = s * (1 - s)
+    return np.concatenate(([s.sum()], x.T @ d, (x.T @ (x * (d * (1 - 2 * s))[:, None])).ravel()))
+
+
+def _logistic(x: np.ndarray, w: np.ndarray, y: int) -> np.ndarray:
+    """Sums over rows of the logistic loss, its gradient and its Hessian, in one vector."""
+    z = x @ w
+    s = _sigmoid(z)
+    return np.concatenate(([(np.logaddexp(0, z) - y * z).sum()], x.T @ (s - y), (x.T @ (x * (s * (1 - s))[:, None])).ravel()))
+
+
+def _apart(v: np.ndarray, size: int) -> tuple[float, np.ndarray, np.ndarray]:
+    return v[0], v[1 : size + 1], v[size + 1 :].reshape(size, size)
+
+
+def estimate_prior(positive: np.ndarray, total, steps: int = 30, confidence: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows; total(f) is the sum of f(rows with a last column of ones, half) over all of these, half being 0 or 1.
 
     A logistic model tells positives from unlabelled rows on one half of each; on the other half, among the rows that score highest, the share of
-    unlabelled rows over the share of positives bounds the prior from above. The least such bound, with a margin for the sample's size, is the estimate.
+    unlabelled rows over the share of positives bounds the prior from above. The halves change places and shares are averaged, so every row counts.
+    The least such bound, with a margin for the number of rows, is the estimate.
     """
-    ends = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
-    x = np.vstack((ends[0][0], ends[1][0]))
-    x = np.hstack((x, np.ones((len(x), 1))))
-    y = np.r_[np.ones(len(ends[0][0])), np.zeros(len(ends[1][0]))]
-    weight = np.r_[np.full(len(ends[0][0]), 0.5 / max(len(ends[0][0]), 1)), np.full(len(ends[1][0]), 0.5 / max(len(ends[1][0]), 1))]
-    w = _descend(lambda w: x.T @ (weight * (_sigmoid(x @ w) - y)) + 1e-4 * w, x.shape[1], steps, 0.05)
-    p, u = (np.sort(half @ w[:-1] + w[-1]) for _, half in ends)
-    if not len(p) or not len(u):
+    halves = positive[::2], positive[1::2]
+    n = total(lambda x, half: np.array([(half == 0).sum(), (half == 1).sum()], float))
+    if not len(halves[1]) or not n.all():
         return 0.5
-    cuts = np.quantile(p, np.linspace(0, 0.95, 96))
-    qp, qu = (1 - np.searchsorted(s, cuts) / len(s) for s in (p, u))
-    margin = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    size = positive.shape[1]
+    qp, qu = [], []
+    for a, b in ((0, 1), (1, 0)):
+
+        def value(w: np.ndarray) -> tuple:
+            sums = 0.5 * _logistic(halves[a], w, 1) / len(halves[a]) + 0.5 * total(lambda x, half: _logistic(x[half == a], w, 0)) / n[a]
+            v, g, h = _apart(sums, size)
+            return v + 0.5e-4 * w @ w, g + 1e-4 * w, h + 1e-4 * np.eye(size)
+
+        w = _minimise(value, size, steps)
+        p = np.sort(halves[b] @ w)
+        cuts = np.quantile(p, np.linspace(0, 0.95, 96))
+        qp.append(1 - np.searchsorted(p, cuts) / len(p))
+        qu.append(1 - total(lambda x, half: np.searchsorted(np.sort(x[half == b] @ w), cuts).astype(float)) / n[b])
+    qp, qu = np.mean(qp, 0), np.mean(qu, 0)
+    margin = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(halves[1])) + 1 / np.sqrt(n.min()))
     best = np.argmin((qu + margin) / np.maximum(qp, 1e-9))
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """fit_sums() over rows in memory."""
+    half = np.arange(len(unlabelled)) % 2
+    return fit_sums(positive, lambda f: f(unlabelled, half), prior)
+
+
+def fit_sums(positive: np.ndarray, total, prior: float | None = None, steps: int = 60, decay: float = 1e-4, soft: float = 2e-3) -> Model:
     """Minimise the non-negative unbiased risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-))  with the sigmoid loss.
 
-    ``prior`` is estimated if it isn't given. Where the part in the maximum falls below zero, the step goes against that part alone, as the
-    method's authors have it. Without positives or without unlabelled rows, all are kept.
+    The unlabelled rows are seen through total(f) alone, the sum of f(x, half) over all of them, so they may lie anywhere. The maximum is rounded
+    off over ``soft``, so that it has derivatives. ``prior`` is estimated if it isn't given. Without positives or without unlabelled rows, all are kept.
     """
     width = positive.shape[1]
-    if not len(positive) or not len(unlabelled):
+    middle = positive.mean(0) if len(positive) else np.zeros(width)
+    sums = total(lambda x, half: np.concatenate(([len(x)], (x - middle).sum(0), ((x - middle) ** 2).sum(0))))
+    n = sums[0]
+    if not len(positive) or not n:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 1.0, 1.0)
-    mean, scale = positive.mean(0), positive.std(0)
-    scale = np.maximum(scale, 1e-3 + 0.05 * unlabelled.std(0))
-    p, u = (np.hstack((np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1)))) for x in (positive, unlabelled))
-    pi = estimate_prior(p[:, :-1], u[:, :-1]) if prior is None else prior
+    spread = np.sqrt(np.maximum(sums[width + 1 :] / n - (sums[1 : width + 1] / n) ** 2, 0))
+    scale = np.maximum(positive.std(0), 1e-3 + 0.05 * spread)
+    ready = lambda x: np.hstack((np.clip((x - middle) / scale, -6, 6), np.ones((len(x), 1))))
+    p, scaled = ready(positive), lambda f: total(lambda x, half: f(ready(x), half))
+    pi = estimate_prior(p, scaled) if prior is None else prior
+    ridge = decay * np.r_[np.ones(width), 0]
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)  # the loss of a score z is sigmoid(-z) as a positive, sigmoid(z) as a negative
-        dp, du = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
-        rest = su.mean() - pi * sp.mean()
-        g = -pi * dp + (du - pi * dp) if rest >= 0 else -(du - pi * dp)
-        return g + decay * np.r_[w[:-1], 0]
+    def value(w: np.ndarray) -> tuple:
+        vp, gp, hp = _apart(_mean_sigmoid(p, w) / len(p), width + 1)  # the loss of a score z is sigmoid(-z) as a positive, sigmoid(z) as a negative
+        vu, gu, hu = _apart(scaled(lambda x, half: _mean_sigmoid(x, w)) / n, width + 1)
+        rest, g, h = vu - pi * vp, gu - pi * gp, hu - pi * hp
+        on = float(_sigmoid(np.array(rest / soft)))
+        risk = pi * (1 - vp) + soft * np.logaddexp(0, rest / soft) + 0.5 * ridge @ w**2
+        return risk, -pi * gp + on * g + ridge * w, -pi * hp + on * h + on * (1 - on) / soft * np.outer(g, g) + np.diag(ridge)
 
-    w = _descend(gradient, width + 1, steps, rate)
-    return Model(mean, scale, w[:-1], float(w[-1]), pi)
+    w = _minimise(value, width + 1, steps)
+    return Model(middle, scale, w[:-1], float(w[-1]), pi)
 
 
 def _featured(docs: DataFrame) -> DataFrame:
@@ -144,22 +200,32 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
-    """Fit on at most ``positives`` documents that labels call good and ``unlabelled`` documents whatever their label, both the first by hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, prior: float | None = None) -> Model:
+    """Fit on at most ``positives`` documents that labels call good, the first by hash of doc_id, and on all documents as the unlabelled rows.
 
-    The sample's bound, not the corpus, sets what comes to the driver. Where labels of a document differ, it isn't trusted. Null ids, texts and labels are no examples.
+    Features of all documents are written once; each step of the fit is a pass over them that brings a few sums a task to the driver. Where labels of
+    a document differ, it isn't trusted. Null ids, texts and labels are no examples; of an id with several texts one counts.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    first = lambda df, n: df.select("doc_id").sort(F.xxhash64("doc_id"), "doc_id").limit(n)
-    known = first(good, positives).withColumn("known", F.lit(1))
-    sample = known.unionByName(first(docs.select("doc_id").where("doc_id is not null"), unlabelled).withColumn("known", F.lit(0)))
-    sample = sample.groupBy("doc_id").agg(F.max("known").alias("known"), F.min("known").alias("least"))
-    small = positives + unlabelled <= 100_000  # rows of 16 bytes
-    chosen = texts.join(F.broadcast(sample) if small else sample, "doc_id")
-    rows = _featured(chosen.select("doc_id", "text")).join(F.broadcast(sample) if small else sample, "doc_id").dropDuplicates(["doc_id"]).sort("doc_id").collect()
-    pick = lambda test: np.array([r.x for r in rows if test(r)], float).reshape(-1, len(NAMES))
-    return fit(pick(lambda r: r.known == 1), pick(lambda r: r.least == 0), prior)
+    rows = materialise(_featured(texts).groupBy("doc_id").agg(F.min("x").alias("x")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "features")
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    known = good.sort(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    trusted = rows.join(F.broadcast(known) if positives <= 100_000 else known, "doc_id", "left_semi").sort("doc_id").select("x").collect()
+
+    def total(f) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = None
+            for batch in batches:
+                if batch.num_rows:
+                    sums = f(batch.column(0).flatten().to_numpy().reshape(-1, len(NAMES)), batch.column(1).to_numpy())
+                    own = sums if own is None else own + sums
+            if own is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        parts = [r.sums for r in rows.select("x", "half").mapInArrow(run, "sums array<double>").collect()]
+        return np.sum(np.array(sorted(parts)), axis=0) if parts else f(np.zeros((0, len(NAMES))), np.zeros(0, int))
+
+    return fit_sums(np.array([r.x for r in trusted], float).reshape(-1, len(NAMES)), total, prior)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,6 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import corpus_pipeline
 from lodestone.llm import bit_sliced, bpe, decontaminate, html_extract, near_duplicates, quality, token_store, toxicity, warc
@@ -242,6 +243,22 @@ def test_quality_risk_needs_no_negatives():
     assert (model.score(rng.normal(2, 1, (500, 2))) >= 0).mean() > 0.93 and (model.score(rng.normal(-2, 1, (500, 2))) < 0).mean() > 0.93
 
 
+def test_quality_learns_from_all_documents(spark):
+    """Junk that the first 8,000 documents by hash have none of."""
+    plain = "A quiet river runs past the old mill, and the boats on it carry grain to the town number {}."
+    first = spark.range(9000).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("at"))
+    rows = [(r.doc_id, r.at <= 8000) for r in first.collect()]
+    docs = spark.createDataFrame([(i, plain.format(i) * (1 + i % 5) if fine else f"{i} $$$$ #### 00 @@ " * 8) for i, fine in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, fine in rows if fine and i % 4 == 0], "doc_id long, quality int")
+    model, fine = quality.train(docs, labels), dict(rows)
+    kept = {r.doc_id: r.keep for r in quality.classify(docs, model).collect()}
+    assert np.mean([kept[i] for i in kept if fine[i]]) > 0.97 and np.mean([kept[i] for i in kept if not fine[i]]) < 0.1
+    x = {r.doc_id: r.x for r in quality._featured(docs).collect()}
+    spread = np.array(list(x.values())).std(0)
+    trusted = np.array([x[r.doc_id] for r in labels.collect()]).std(0)
+    assert np.allclose(model.scale, np.maximum(trusted, 1e-3 + 0.05 * spread), rtol=1e-6)
+
+
 def test_toxicity_on_held_out_labels(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
