@@ -23,6 +23,7 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe object textarea title".split()}
+_IN_HEAD = frozenset("head html base basefont bgsound link meta title script style noscript template noframes".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 _CONTENT, _AROUND = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "header"))
 _HEADINGS, _LISTS, _TABLES = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("ul ol li dl dt dd".split()), frozenset("table tbody thead tfoot tr td th".split())
@@ -55,11 +56,11 @@ def _clean(text: str) -> str:
 
 
 def parse(page: str) -> Tree:
-    """A tree from any text: end tags that fit nothing are skipped, elements left open end with their parent, and a block ends an open paragraph. Head, scripts, styles and comments have no nodes."""
+    """A tree from any text: end tags that fit nothing are skipped, elements left open end with their parent, and a block ends an open paragraph. A head left open ends at the first text or tag that may not stand in it. Head, scripts, styles and comments have no nodes."""
     tree, stack, run, at = Tree(), [0], [], 0
     link_depth = links = inline = 0
     page = page.replace("\0", " ")
-    head = False
+    head, unclosed = False, set()
 
     def flush() -> None:
         nonlocal links, inline
@@ -73,6 +74,8 @@ def parse(page: str) -> Tree:
     while True:
         m = _PIECE.search(page, at)
         between = page[at : m.start()] if m else page[at:]
+        if head and between.strip():
+            head = False
         if between and not head:
             run.append(between)
             if link_depth:
@@ -86,11 +89,18 @@ def parse(page: str) -> Tree:
         if tag == "head":
             head = not end
             continue
-        if tag == "body":
+        if head and tag not in _IN_HEAD and (not end or tag == "body"):
             head = False
         if not end and tag in _RAW:
-            close = _RAW[tag].search(page, at)
-            at = close.end() if close else len(page)
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            close = None if tag in unclosed else _RAW[tag].search(page, at)
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(tag)  # only the tag is passed over
             continue
         if head:
             continue

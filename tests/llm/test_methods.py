@@ -283,6 +283,15 @@ def test_chain_feeds_probabilities_forward():
     assert ((p[:, 0] > 0.5) == first.astype(bool)).all() and np.mean((p[:, 1] > 0.5) == y[:, 1].astype(bool)) > 0.85
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><h1>One</h1><p>two", ["One", "two"]), ("<head><meta charset=x>\n<title>t</title>bare <b>text</b>", ["bare text"]),
+    ("<head><title>t</title><style>x{}</style></head><body><p>one", ["one"]), ('<p>one</p><svg class="i"/><p>two</p><svg><text>no</text></svg><p>three', ["one", "two", "three"]),
+    ("<p>one</p><iframe src=x><p>two</p><object><p>three", ["one", "two", "three"]), ("<p>one</p><script>if (a) <p>no", ["one"]),
+])
+def test_html_keeps_what_follows_an_open_head_or_element(page, want):
+    assert [t for t in html_extract.parse(page).texts if t] == want
+
+
 def test_html_on_held_out_pages(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.01")
     pages = [r.html for r in spark.read.parquet(f"{folder}/pages.parquet").where("html is not null").sort("page_id").collect()]
