@@ -15,8 +15,10 @@ from lodestone.llm.token_store import mix
 
 #: Words of a gram, least Jaccard similarity (half: a copy with a tenth of its words changed, scattered, has about 0.57 with its original; two such copies have about 0.36 with each other and are linked by the original alone), and how many global orders a candidate must pass.
 GRAM, THRESHOLD, ORDERS = 3, 0.5, 3
-#: Bytes of text hashed at a time, grams of one block of documents, pairs held before they are handed on, pairs verified in one task.
-PIECE, BLOCK_GRAMS, HELD_PAIRS, TASK_PAIRS = 2 << 20, 2_000_000, 2_000_000, 200_000
+#: Bytes of text hashed at a time, grams of one block of documents, bytes of text whose grams make one bucket, pairs held before they are handed on.
+PIECE, BLOCK_GRAMS, BUCKET_BYTES, HELD_PAIRS = 2 << 20, 2_000_000, 16 << 20, 2_000_000
+#: Sets of one gram that are paired in one place, and grams of one side of a cell of pairs that is verified in one place.
+CHUNK, CELL_GRAMS = 8_192, 2_000_000
 #: Documents to drop that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -95,8 +97,42 @@ def _ranked(tokens: np.ndarray, classes: np.ndarray, group: np.ndarray, order: i
     return np.lexsort((mix(tokens, 100 + order), classes, group))
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of grams: one for every BUCKET_BYTES of text, and at least as many as the session has shuffle partitions, so that a bucket fits a task at any size."""
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES), 1)
+
+
+def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes of equal width, so that sorted grams lie bucket by bucket."""
+    return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pack(ordered: np.ndarray) -> bytes:
+    """Distinct ascending 64-bit numbers: the first, then the bytes that the gaps need, plane by plane."""
+    if not len(ordered):
+        return b""
+    gaps = np.diff(ordered)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    return ordered[:1].tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    first, width = np.frombuffer(data, np.uint64, 1), data[8]
+    if not width:
+        return first
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(np.concatenate((first, gaps.view(np.uint64).ravel())), dtype=np.uint64)
+
+
 def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
-    """Documents in blocks, their grams by bucket: a row (bucket, block, tok, ref) for each, and one a block with ids, sizes and digests. A block's name depends alone on what it holds, in its order, so a repeated task gives the same; so does a repeated block."""
+    """Documents in blocks, their grams by bucket. A row (bucket, block) holds the bucket's grams that the block has once, with their document (tok, ref), and those that it has
+    several times, with how often (more, times): a gram of every document comes to its bucket once a block. One further row a block keeps its ids, sizes and digests and, for the grams of ``more``, the
+    documents (held). A block's name depends alone on what it holds, in its order, so a repeated task gives the same; so does a repeated block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, held = [], [], 0
@@ -104,23 +140,29 @@ def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int32)
             grams = np.concatenate(sets)
-            ref = np.repeat(np.arange(len(sets)), sizes)
             edges = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             one, two = (np.add.reduceat(mix(grams, seed), edges) for seed in (4, 5))
             rows_in_order = mix(mix(np.array(ids, np.int64).view(np.uint64) + one, 6) + np.arange(len(ids), dtype=np.uint64), 10)
             name = int(mix(np.array([np.add.reduce(rows_in_order) + np.uint64(len(ids))], np.uint64), 7).view(np.int64)[0])
-            bucket = (grams % np.uint64(buckets)).astype(np.int64)
-            low = (grams >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((low, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            low, ref = low[order], ref[order].astype(np.uint16)
-            rows = [(int(b), name, None, None, None, None, low[cuts[b] : cuts[b + 1]].tobytes(), ref[cuts[b] : cuts[b + 1]].tobytes()) for b in some]
-            rows.append((abs(name) % buckets, name, np.array(ids, np.int64).tobytes(), sizes.tobytes(), mix(one + sizes.astype(np.uint64), 8).tobytes(), two.tobytes(), None, None))
+            order = np.argsort(grams)
+            grams, ref = grams[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+            starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            times = np.diff(np.append(starts, len(grams)))
+            once, several = starts[times == 1], np.flatnonzero(times > 1)
+            tok, ref_once = grams[once], ref[once]
+            more, times = grams[starts[several]], times[several]
+            again = np.repeat(starts[several] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            times = times.astype(np.uint32)
+            cuts, more_cuts = (np.searchsorted(_bucket_of(x, buckets), np.arange(buckets + 1)) for x in (tok, more))
+            rows = [
+                (int(b), name, None, None, None, None, None, pack(tok[i:j]), ref_once[i:j].tobytes(), pack(more[k:n]), times[k:n].tobytes())
+                for b, i, j, k, n in zip(range(buckets), cuts[:-1].tolist(), cuts[1:].tolist(), more_cuts[:-1].tolist(), more_cuts[1:].tolist()) if j > i or n > k
+            ]
+            rows.append((abs(name) % buckets, name, np.array(ids, np.int64).tobytes(), sizes.tobytes(), mix(one + sizes.astype(np.uint64), 8).tobytes(), two.tobytes(), ref[again].tobytes(), None, None, pack(more), times.tobytes()))
             ids.clear()
             sets.clear()
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "block", "ids", "sizes", "sets", "checks", "tok", "ref"])
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "block", "ids", "sizes", "sets", "checks", "held", "tok", "ref", "more", "times"])
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -141,56 +183,57 @@ def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
             yield flush()
 
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
-    return keyed.mapInArrow(run, "bucket int, block long, ids binary, sizes binary, sets binary, checks binary, tok binary, ref binary")
+    return keyed.mapInArrow(run, "bucket int, block long, ids binary, sizes binary, sets binary, checks binary, held binary, tok binary, ref binary, more binary, times binary")
 
 
 def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist() if x is not None]
 
 
-def signatures(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """(doc_id, set_id, check, n, n_prefix, tokens, classes) of each document that shares a gram of its prefix with another.
 
-    Every gram of every document is counted: blocks of documents send their grams, packed, to the gram's bucket, and get back those that occur in
+    Every gram of every document is counted: blocks of documents send their distinct grams, packed, to the gram's bucket, and get back those that occur in
     several documents, with their frequency. Grams of a single document come first in each order and can match nothing, so they never move again.
     tokens and classes hold the shared grams in the first order.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def once(table: pa.Table) -> pa.Table:
         """One row a block: blocks of one name hold the same rows in the same order, as where a file was read twice, and count as one."""
         return table.take(pa.array(np.sort(np.unique(table["block"].to_numpy(), return_index=True)[1])))
 
     def count(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        told, table = (once(table.filter(table[c].is_valid())) for c in ("ids", "tok"))
-        rows = [(b, bucket, i, n, s, c, None, None, None) for b, i, n, s, c in zip(*(told[c].to_pylist() for c in ("block", "ids", "sizes", "sets", "checks")))]
+        bucket, kept = table["bucket"][0].as_py(), ("block", "ids", "sizes", "sets", "checks", "held", "more", "times")
+        told, table = (once(table.filter(x)) for x in (table["ids"].is_valid(), table["ids"].is_null()))
+        rows = [(b, bucket, i, n, s, c, h, m, t, None, None, None, None) for b, i, n, s, c, h, m, t in zip(*(told[c].to_pylist() for c in kept))]
         if table.num_rows:
-            toks, refs, blocks = _arrays(table["tok"], np.uint32), _arrays(table["ref"], np.uint16), table["block"].to_pylist()
-            cuts = np.cumsum([0, *map(len, toks)])
-            low = np.concatenate(toks)
-            order = np.argsort(low)
-            ranked = low[order]
-            edges = np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked))
-            df = np.empty(len(low), np.int32)
-            df[order] = np.repeat(np.diff(edges), np.diff(edges))
-            for k, block in enumerate(blocks):
-                own = df[cuts[k] : cuts[k + 1]]
-                shared = own > 1
-                if shared.any():
-                    rows.append((block, bucket, None, None, None, None, toks[k][shared].tobytes(), refs[k][shared].tobytes(), np.minimum(255, 8 * np.log2(own[shared])).astype(np.uint8).tobytes()))
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "ids", "sizes", "sets", "checks", "tok", "ref", "cls"])
+            blocks = table["block"].to_pylist()
+            toks, more, times = [unpack(x) for x in table["tok"].to_pylist()], [unpack(x) for x in table["more"].to_pylist()], _arrays(table["times"], np.uint32)
+            both = [x for pair in zip(toks, more) for x in pair]
+            cuts = np.cumsum([0, *map(len, both)])
+            every = np.concatenate(both)
+            weight = np.concatenate([x for t, w in zip(toks, times) for x in (np.ones(len(t), np.int64), w.astype(np.int64))])
+            order = np.argsort(every)
+            ranked = every[order]
+            edges = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            df = np.empty(len(every), np.int64)
+            df[order] = np.repeat(np.add.reduceat(weight[order], edges), np.diff(np.append(edges, len(ranked))))
+            cls = np.minimum(255, 8 * np.log2(df)).astype(np.uint8)
+            for k, (block, ref) in enumerate(zip(blocks, _arrays(table["ref"], np.uint16))):
+                own = slice(cuts[2 * k], cuts[2 * k + 1])
+                shared = df[own] > 1
+                rows.append((block, bucket, *[None] * 7, pack(toks[k][shared]), ref[shared].tobytes(), cls[own][shared].tobytes(), cls[cuts[2 * k + 1] : cuts[2 * k + 2]].tobytes()))
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 11]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "ids", "sizes", "sets", "checks", "held", "more", "times", "tok", "ref", "cls", "more_cls"])
 
     def gather(table: pa.Table) -> pa.Table:
         told = table.filter(table["ids"].is_valid())
-        ids, sizes, sets, checks = (_arrays(told[c], k)[0] for c, k in (("ids", np.int64), ("sizes", np.int32), ("sets", np.int64), ("checks", np.int64)))
-        table = table.filter(table["tok"].is_valid())
-        empty = [np.zeros(0, np.uint64)]
-        toks = _arrays(table["tok"], np.uint32)
-        tokens = np.concatenate([t.astype(np.uint64) | np.uint64(b << 32) for t, b in zip(toks, table["bucket"].to_pylist())] or empty)
-        ref = np.concatenate(_arrays(table["ref"], np.uint16) or [np.zeros(0, np.uint16)])
-        cls = np.concatenate(_arrays(table["cls"], np.uint8) or [np.zeros(0, np.uint8)])
+        ids, sizes, sets, checks, held, times = (_arrays(told[c], k)[0] for c, k in (("ids", np.int64), ("sizes", np.int32), ("sets", np.int64), ("checks", np.int64), ("held", np.uint16), ("times", np.uint32)))
+        table = table.filter(table["ids"].is_null()).sort_by("bucket")
+        part = lambda name, kind: np.concatenate([np.zeros(0, kind), *_arrays(table[name], kind)])
+        tokens = np.concatenate([*(unpack(x) for x in table["tok"].to_pylist()), np.repeat(unpack(told["more"][0].as_py()), times)])
+        ref = np.concatenate((part("ref", np.uint16), held))
+        cls = np.concatenate((part("cls", np.uint8), np.repeat(part("more_cls", np.uint8), times)))
         order = _ranked(tokens, cls, ref, 1)
         tokens, cls, ref = tokens[order], cls[order], ref[order]
         cuts = np.searchsorted(ref, np.arange(len(ids) + 1))
@@ -201,24 +244,50 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM)
         columns = [pa.array(ids[some]), pa.array(sets[some]), pa.array(checks[some]), pa.array(sizes[some]), pa.array(prefix[some].astype(np.int32)), cell(tokens), cell(cls)]
         return pa.table(columns, ["doc_id", "set_id", "check", "n", "n_prefix", "tokens", "classes"])
 
-    counted = _blocks(docs, buckets, gram).groupBy("bucket").applyInArrow(count, "block long, bucket int, ids binary, sizes binary, sets binary, checks binary, tok binary, ref binary, cls binary")
+    replies = "block long, bucket int, ids binary, sizes binary, sets binary, checks binary, held binary, more binary, times binary, tok binary, ref binary, cls binary, more_cls binary"
+    counted = _blocks(docs, buckets, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, replies)
     return counted.groupBy("block").applyInArrow(gather, "doc_id long, set_id long, check long, n int, n_prefix int, tokens binary, classes binary")
 
 
-def candidates(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a, b) of set_ids, a < b, that share a prefix gram in the first order and are near enough in size and in the gram's positions."""
-    buckets = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) of set_ids, a < b, with their sizes, that share a prefix gram in the first order and are near enough in size and in the gram's positions.
+
+    The sets of a frequent gram are cut into chunks of about CHUNK, and each pair of chunks meets in a bucket of its own, so no gram's list comes to one place.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of copies in one task the first is enough
         for batch in batches:
+            fresh = []
+            for i, s in enumerate(batch.column(0).to_pylist()):
+                if s not in seen:
+                    seen.add(s)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             if not batch.num_rows:
                 continue
             sets, sizes, prefix = (batch.column(i).to_numpy() for i in range(3))
-            tokens = np.concatenate([np.frombuffer(t, np.uint64, k) for t, k in zip(batch.column(3).to_pylist(), prefix.tolist())])
+            texts, kinds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            tokens = np.concatenate([np.frombuffer(t, np.uint64, k) for t, k in zip(texts, prefix.tolist())])
+            cls = np.concatenate([np.frombuffer(t, np.uint8, k) for t, k in zip(kinds, prefix.tolist())])
             ref = np.repeat(np.arange(len(sets), dtype=np.uint32), prefix)
             edges = np.cumsum(prefix) - prefix
-            shared = np.array([len(x) // 8 for x in batch.column(3).to_pylist()])
+            shared = np.array([len(x) // 8 for x in texts])
             place = (np.arange(len(tokens)) - np.repeat(edges, prefix) + np.repeat(sizes - shared, prefix)).astype(np.int32)
+            side = np.zeros(len(tokens), np.uint8)
+            chunks = np.ceil(np.exp2((cls + 1.0) / 8) / CHUNK).astype(np.int64)  # of an upper bound of the gram's frequency
+            if (chunks > 1).any():
+                hot = np.flatnonzero(chunks > 1)
+                cold = np.flatnonzero(chunks == 1)
+                times = chunks[hot]
+                at = np.repeat(hot, times)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                own = (mix(sets[ref[at]].view(np.uint64), 12) % np.repeat(times, times).astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                cells = mix(tokens[at] + mix((low << 32 | high).view(np.uint64), 13), 14)
+                sides = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.uint8)
+                tokens, side = np.concatenate((tokens[cold], cells)), np.concatenate((side[cold], sides))
+                ref, place = np.concatenate((ref[cold], ref[at])), np.concatenate((place[cold], place[at]))
             bucket = (mix(tokens, 9) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -226,32 +295,34 @@ def candidates(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for b in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[b] : cuts[b + 1]]
                 who, own = np.unique(ref[at], return_inverse=True)
-                rows.append((int(b), sets[who].tobytes(), sizes[who].astype(np.int32).tobytes(), tokens[at].tobytes(), own.astype(np.uint32).tobytes(), place[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], ["bucket", "sets", "sizes", "tok", "ref", "place"])
+                rows.append((int(b), sets[who].tobytes(), sizes[who].astype(np.int32).tobytes(), tokens[at].tobytes(), own.astype(np.uint32).tobytes(), place[at].tobytes(), side[at].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], ["bucket", "sets", "sizes", "tok", "ref", "place", "side"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            for s, n, t, r, p in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+            for s, n, t, r, p, d in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
                 ref = np.frombuffer(r, np.uint32)
-                for part, x in zip(parts, (np.frombuffer(t, np.uint64), np.frombuffer(s, np.int64)[ref], np.frombuffer(n, np.int32)[ref], np.frombuffer(p, np.int32))):
+                for part, x in zip(parts, (np.frombuffer(t, np.uint64), np.frombuffer(s, np.int64)[ref], np.frombuffer(n, np.int32)[ref], np.frombuffer(p, np.int32), np.frombuffer(d, np.uint8))):
                     part.append(x)
         if not parts[0]:
             return
-        tokens, sets, sizes, places = map(np.concatenate, parts)
+        tokens, sets, sizes, places, sides = map(np.concatenate, parts)
         parts.clear()
         order = np.lexsort((sets, tokens))
-        tokens, sets, sizes, places = tokens[order], sets[order], sizes[order].astype(np.int64), places[order].astype(np.int64)
+        tokens, sets, sizes, places, sides = tokens[order], sets[order], sizes[order].astype(np.int64), places[order].astype(np.int64), sides[order]
         fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1]))  # copies of a set count once
-        tokens, sets, sizes, places = tokens[fresh], sets[fresh], sizes[fresh], places[fresh]
-        known, number = np.unique(sets, return_inverse=True)
+        tokens, sets, sizes, places, sides = tokens[fresh], sets[fresh], sizes[fresh], places[fresh], sides[fresh]
+        known, first, number = np.unique(sets, return_index=True, return_inverse=True)
+        known_sizes = sizes[first].astype(np.int32)
         edges = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
         lengths, held, n_held = np.diff(edges), [], 0
 
         def emit() -> pa.RecordBatch:
             code = np.unique(np.concatenate(held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(known[code // len(known)]), pa.array(known[code % len(known)])], ["a", "b"])
+            a, b = code // len(known), code % len(known)
+            return pa.RecordBatch.from_arrays([pa.array(known[a]), pa.array(known[b]), pa.array(known_sizes[a]), pa.array(known_sizes[b])], ["a", "b", "na", "nb"])
 
         for length in np.unique(lengths[lengths > 1]):
             runs = edges[:-1][lengths == length]
@@ -262,8 +333,8 @@ def candidates(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     left = (runs[at : at + step, None] + np.arange(length - gap)[None, :]).ravel()
                     right = left + gap
                     na, nb = sizes[left], sizes[right]
-                    most = 1 + np.minimum(na - places[left], nb - places[right]) - 1
-                    good = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (most >= _least_overlap(na + nb, threshold))
+                    most = np.minimum(na - places[left], nb - places[right])
+                    good = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (most >= _least_overlap(na + nb, threshold)) & ((sides[left] != sides[right]) | (sides[left] == 0))
                     if good.any():
                         held.append(number[left[good]] * len(known) + number[right[good]])
                         n_held += len(held[-1])
@@ -276,21 +347,26 @@ def candidates(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held:
             yield emit()
 
-    rows = sigs.select("set_id", "n", "n_prefix", "tokens").mapInArrow(spread, "bucket int, sets binary, sizes binary, tok binary, ref binary, place binary")
-    return rows.repartition(buckets, "bucket").mapInArrow(pair, "a long, b long").distinct()
+    rows = sigs.select("set_id", "n", "n_prefix", "tokens", "classes").mapInArrow(spread, "bucket int, sets binary, sizes binary, tok binary, ref binary, place binary, side binary")
+    return rows.repartition(buckets, "bucket").mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
 def verified(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """(a, b, overlap, na, nb) of the pairs that share a prefix gram in every other order as well and are similar.
 
-    Pairs gather around the least neighbour of their first set, so members of one group meet in one place and each set travels there once; a
-    neighbour with many pairs is split into several tasks.
+    Pairs gather around the least neighbour of their first set, so members of one group meet in one place and each set travels there once. Where the sets of one
+    side have more than CELL_GRAMS grams together, the pairs are cut into a grid by both sets' hashes, so a set with many partners and a group of many sets are shared out alike.
     """
-    both = pairs.union(pairs.select("b", "a"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
     hub = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"))
     placed = pairs.join(hub, "a")
-    load = placed.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(TASK_PAIRS)).cast("int").alias("parts"))
-    placed = materialise(placed.join(load, "hub").select("hub", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a", "b"), "pairs")
+    side = lambda k, s, n: F.struct(F.lit(k).alias("side"), F.col(s).alias("s"), F.col(n).alias("n"))
+    sides = placed.select("hub", F.explode(F.array(side(0, "a", "na"), side(1, "b", "nb"))).alias("x")).select("hub", "x.*")
+    sides = sides.groupBy("hub", "side", "s").agg(F.max("n").alias("n"))
+    cells = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / F.lit(CELL_GRAMS)).cast("long")
+    load = sides.groupBy("hub").agg(cells(0).alias("ka"), cells(1).alias("kb"))
+    part = (F.pmod(F.xxhash64("a"), "ka") * F.col("kb") + F.pmod(F.xxhash64("b"), "kb")).alias("part")
+    placed = materialise(placed.join(load, "hub").select("hub", part, "a", "b"), "pairs")
     needed = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("set_id")).distinct().toDF("own_hub", "own_part", "set_id")
     holder = sigs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     needed = needed.join(holder, "set_id").join(sigs.select("set_id", "doc_id", "n", "tokens", "classes"), ["set_id", "doc_id"])
@@ -345,30 +421,53 @@ def verified(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, or
 
 
 def _similar(docs: DataFrame, threshold: float, gram: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, set_id, check; similar: pairs of sets), both written."""
-    sigs = materialise(signatures(docs, threshold, gram), "signatures")
-    pairs = materialise(candidates(sigs, threshold), "candidates")
+    """(members: distinct doc_id, set_id, check; similar: pairs of sets), both written."""
+    buckets = _buckets(docs)
+    sigs = materialise(signatures(docs, buckets, threshold, gram), "signatures")
+    pairs = materialise(candidates(sigs, buckets, threshold), "candidates")
     similar = materialise(verified(sigs, pairs, threshold, orders), "similar")
     return sigs.select("doc_id", "set_id", "check").distinct(), similar
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, orders: int = ORDERS) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: (doc_id_a, doc_id_b, jaccard), a < b.
+    """The links between different texts, and who has the same: (doc_id_a, doc_id_b, jaccard).
 
+    Documents with the same set of word n-grams are one text, which its least id stands for. Each pair of texts with a Jaccard similarity of at least
+    ``threshold`` is a row with those two ids, the lesser first, and each further document of a text a row of its own with the text's least id and 1.
     Exact: prefixes under ``orders`` global orders only rule out what can't be similar, and what passes all of them is compared in full (grams as
-    64-bit hashes, cut to 32 bits and a bucket). No number of partners is capped: equal sets are compared once and their pairs spelt out at the end, without moving again.
+    64-bit hashes). Nothing is capped, and copies aren't expanded into pairs.
     Documents with a null id or text, or without words, are similar to none. Rows with the same id and grams count as one; of an id with several
-    texts each is compared, and a pair of ids has a row for each similar pair of their texts, but none with itself. Ties need no rule, as all pairs are returned. An empty table gives none; further columns are ignored.
+    texts each is compared, but an id makes no pair with itself. Ties need no rule, as all links are returned. An empty table gives none; further columns are ignored.
     """
     members, similar = _similar(docs, threshold, gram, orders)
-    lists = members.groupBy("set_id").agg(F.collect_list("doc_id").alias("ids"))
-    left, right = lists.toDF("a", "xs"), lists.toDF("b", "ys")
+    least = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     score = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard")
-    apart = similar.join(left, "a").join(right, "b").select(F.explode("xs").alias("x"), "ys", score).select("x", F.explode("ys").alias("y"), "jaccard")
-    copies = members.groupBy("set_id", "check").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)
-    same = copies.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("y"), F.lit(1.0).alias("jaccard"))
-    pairs = apart.where("x <> y").union(same)
-    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
+    apart = similar.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select("x", "y", score)
+    same = members.join(least.withColumnRenamed("doc_id", "x"), "set_id").select("x", F.col("doc_id").alias("y"), F.lit(1.0).alias("jaccard"))
+    return apart.union(same).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard").distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, orders: int = ORDERS) -> DataFrame:
+    """One row for each document: (doc_id, class_id, n_links).
+
+    class_id is the least doc_id of the class, the documents that similar pairs connect; n_links is the number of documents that this one is similar
+    to itself. Similarity is that of join(), and every link counts, those among copies without being spelt out: a text is compared once and its links are multiplied by the number of its documents.
+    A document that is similar to none (as are those with a null text, or without words) is a class of its own, with 0. Repeated rows of an id count
+    as one; an id with several texts connects their classes, and its links are those of all its texts added up. Rows with a null id are left out, an empty table gives none; further columns are ignored.
+    """
+    members, similar = _similar(docs, threshold, gram, orders)
+    several = members.groupBy("doc_id").agg(F.collect_set("set_id").alias("sets")).where(F.size("sets") > 1)
+    within = several.select(F.array_min("sets").alias("a"), F.explode("sets").alias("b")).where("a <> b")
+    roots = components(similar.select("a", "b").union(within))
+    grouped = members.join(roots, members.set_id == roots.v, "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    sizes = members.groupBy("set_id").agg(F.count("*").alias("m"))
+    ends = similar.select("a", "b").union(similar.select("b", "a"))
+    links = ends.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.sum("m").alias("linked"))
+    own = sizes.join(links, sizes.set_id == links.a, "left").select("set_id", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("links"))
+    found = grouped.join(first, "root").join(own, "set_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    every = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -394,26 +493,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, orders: int = ORDERS) -> DataFrame:
-    """The rows of docs with one document left, that with the least id, of each group that similar pairs connect; all columns.
+    """The rows of docs with one document left, that with the least id, of each class of classes(); all columns.
 
-    Rows of one id stay or go together. Rows that join() leaves out stay.
+    Rows of one id stay or go together, repeated rows included. Rows with a null id or text, or without words, are in no class and stay. An empty table gives none.
     """
-    members, similar = _similar(docs, threshold, gram, orders)
-    roots = components(similar)
-    grouped = members.join(roots, members.set_id == roots.v, "left").select("doc_id", F.coalesce("root", "set_id").alias("root"))
-    first = grouped.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = grouped.join(first, "root").where("doc_id <> first").select(F.col("doc_id").alias("gone")).distinct()
-    gone = materialise(firsts, "gone")
+    found = classes(docs.select("doc_id", "text"), threshold, gram, orders)
+    gone = materialise(found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")), "gone")
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
 
 
-JOIN_SQL = rf"""
-WITH cut AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+_PAIRS_SQL = rf"""cut AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (
     SELECT doc_id, list_distinct(CASE WHEN len(w) >= {GRAM} THEN list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i : i + {GRAM - 1}], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
     FROM cut WHERE len(w) > 0),
 flat AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS na, b.n AS nb, count(*) AS overlap FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT x AS doc_id_a, y AS doc_id_b, CAST(overlap AS DOUBLE) / (na + nb - overlap) AS jaccard
-FROM shared WHERE overlap >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)"""
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS na, b.n AS nb, count(*) AS overlap FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT x, y FROM shared WHERE overlap >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)),
+ends AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs)"""
+CLASSES_SQL = f"""
+WITH RECURSIVE {_PAIRS_SQL},
+reached AS (SELECT DISTINCT doc_id, doc_id AS other FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, e.y FROM reached r JOIN ends e ON r.other = e.x)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM ends e WHERE e.x = reached.doc_id) AS n_links FROM reached GROUP BY doc_id"""

@@ -47,7 +47,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.join(read(spark, sf_dir, "documents"))
+    return near_duplicates.classes(read(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.scan_sql(),
     "op2_top_k": bit_sliced.SEARCH_SQL,
     "op4_warc": "SELECT page_id, url, html FROM pages",
-    "op8_near_duplicates": near_duplicates.JOIN_SQL,
+    "op8_near_duplicates": near_duplicates.CLASSES_SQL,
     "op9_decontaminate": decontaminate.FIND_SQL,
 }

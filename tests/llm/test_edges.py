@@ -61,7 +61,12 @@ def test_near_duplicates(spark, awkward):
     none = docs(spark, [])
     assert near_duplicates.join(none).count() == 0 and near_duplicates.keep_one(none).count() == 0
     copies = docs(spark, [(i, "one two three four") for i in (9, 3, 5)] + [(4, "!!!"), (8, "!!!")])
-    assert {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.join(copies).collect()} == {(3, 5), (3, 9), (5, 9)}
+    assert {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.join(copies).collect()} == {(3, 5), (3, 9)}
+    assert {tuple(r) for r in near_duplicates.classes(copies).collect()} == {(3, 3, 2), (5, 3, 2), (9, 3, 2), (4, 4, 0), (8, 8, 0)}
+    several = docs(spark, [(1, "one two three four"), (2, "one two three four"), (2, "five six seven eight"), (7, "five six seven eight")])  # an id with two texts connects their classes
+    assert {tuple(r) for r in near_duplicates.classes(several).collect()} == {(1, 1, 1), (2, 1, 2), (7, 1, 1)}
+    assert [r.doc_id for r in near_duplicates.keep_one(several).collect()] == [1]
+    assert {tuple(r) for r in near_duplicates.classes(awkward).collect()} == {(i, i, 0) for i in range(1, 7)} and near_duplicates.classes(none).count() == 0
     assert sorted(r.doc_id for r in near_duplicates.keep_one(copies).collect()) == [3, 4, 8]
 
 

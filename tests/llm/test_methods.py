@@ -50,20 +50,77 @@ def similar(texts, threshold=near_duplicates.THRESHOLD):
     return pairs
 
 
-@pytest.mark.parametrize("seed, threshold, orders", [(1, 0.5, 3), (2, 0.8, 2), (3, 0.3, 4)])
-def test_near_duplicates_against_all_pairs(spark, seed, threshold, orders):
+def links(texts, threshold=near_duplicates.THRESHOLD):
+    """Rows of join(): pairs between the least ids of different texts, and each further id of a text with the least."""
+    least = {}
+    for i in sorted(texts):
+        least.setdefault(frozenset(grams(texts[i] or "")), i)
+    least.pop(frozenset(), None)
+    same = {(least[g], i): 1.0 for i in texts if (g := frozenset(grams(texts[i] or ""))) and least[g] != i}
+    return similar({i: texts[i] for i in least.values()}, threshold) | same
+
+
+def classes(texts):
+    """Rows of classes(): the least id of each connected group, and the number of documents that each is similar to."""
+    root, pairs = {i: i for i in texts}, similar(texts)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {(i, find(i), sum(i in p for p in pairs)) for i in texts}
+
+
+def group_texts(seed):
     rng, texts = np.random.default_rng(seed), {}
     for group in range(12):  # copies with words changed, and a passage that all groups share
         base = [f"w{x}" for x in rng.zipf(1.3, rng.integers(5, 120)) % 400]
         for copy in range(8):
             own = [w if rng.random() > 0.03 * copy else f"n{rng.integers(1000)}" for w in base]
             texts[group * 8 + copy] = " ".join(own + ("a passage that stands in a great many texts".split() if copy % 2 else []))
+        texts[100 + group] = texts[group * 8]
+    return texts
+
+
+@pytest.mark.parametrize("seed, threshold, orders", [(1, 0.5, 3), (2, 0.8, 2), (3, 0.3, 4)])
+def test_near_duplicates_against_all_pairs(spark, seed, threshold, orders):
+    texts = group_texts(seed)
     found = near_duplicates.join(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), threshold, orders=orders)
     got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in found.collect()}
-    want = similar(texts, threshold)
+    want = links(texts, threshold)
     assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_near_duplicate_classes(spark):
+    texts = group_texts(6)
+    rows = near_duplicates.classes(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and {tuple(r) for r in rows} == classes(texts)
+
+
+def test_near_duplicates_of_hot_grams_and_hubs(spark, monkeypatch):
+    """Chunks of a frequent gram's sets and cells of a group's pairs give what one place would, and so do many buckets."""
+    texts = group_texts(8)
+    for i in range(60):  # a template: the same words but for a few
+        texts[1000 + i] = " ".join([f"own{i}x{k}" for k in range(i % 7)] + [f"shared{k}" for k in range(30)])
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 7)
+    monkeypatch.setattr(near_duplicates, "CELL_GRAMS", 300)
+    monkeypatch.setattr(near_duplicates, "BUCKET_BYTES", 500)
+    got, want = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in near_duplicates.join(docs).collect()}, links(texts)
+    assert got.keys() == want.keys() and len(want) > 1000 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50, unique=True))
+def test_packed_numbers_come_back(numbers):
+    ordered = np.sort(np.array(numbers, np.uint64))
+    assert near_duplicates.unpack(near_duplicates.pack(ordered)).tolist() == ordered.tolist()
+
+
 @pytest.mark.parametrize("again", ["same", "reversed"])
 def test_near_duplicates_of_a_repeated_block(spark, again):
     rng, texts = np.random.default_rng(4), {}
@@ -74,25 +131,16 @@ def test_near_duplicates_of_a_repeated_block(spark, again):
     rows = sorted(texts.items())
     one, two = (spark.createDataFrame(spark.sparkContext.parallelize(r, 1), "doc_id long, text string") for r in (rows, rows if again == "same" else rows[::-1]))  # a block each
     got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in near_duplicates.join(one.union(two)).collect()}
-    want = similar(texts)
+    want = links(texts)
     assert got.keys() == want.keys() and len(want) > 3 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {tuple(r) for r in near_duplicates.classes(one.union(two)).collect()} == classes(texts)
     stay = one_of_each(texts)
     assert sorted(r.doc_id for r in near_duplicates.keep_one(one.union(two)).collect()) == sorted([*stay, *stay])
 
 
 def one_of_each(texts):
     """Ids that stay when the least of each connected group does."""
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in similar(texts):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return {i for i in texts if find(i) == i}
+    return {i for i, c, _ in classes(texts) if i == c}
 
 
 def leaks(text, windows):
