@@ -18,14 +18,21 @@ EQUIVALENT = [
     ("programme", "program"), ("signalling", "signaling"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"),
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("https", "http"),
 ]
-#: A line that states who holds the copyright, after comment signs.
-COPYRIGHT_LINE = r"(?m)^[ \t]*[*#/;-]*[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[\[<{]|[0-9])|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: What may stand before the words of a line: comment and markup signs.
+_SIGNS = r"[ \t]*[*#/;%<!|-]*[ \t]*(?:portions[ \t]+)?"
+#: A line that begins with the word copyright but goes on about it, and so is part of the text. Such lines are marked before statements go, as not every engine's patterns can look ahead.
+ABOUT_COPYRIGHT = rf"(?m)^({_SIGNS})(copyright[ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|acts?|protections?|infringements?|interests?|claims?|status|disclaimers?|information|management|treaty|treaties|rights?|terms?|in|and|or|is|are|was|has|may|shall|will|must|of|as|to|for|on|under|with|that|which)\b)"
+#: A line that states who holds the copyright: after signs, copyright with a year, a sign or a name, or the sign alone.
+COPYRIGHT_LINE = rf"(?m)^{_SIGNS}(?:copyright(?:[ \t]*[:,]|[ \t]+|[ \t]*\(c\)|[ \t]*©)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Rows of digests that are broadcast at most, some 100 bytes each; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """Lower case, no copyright lines, words with one space between them and one spelling; \\n between lines that have words."""
     x = F.regexp_replace(F.lower(text), "\r", "\n")
+    x = F.regexp_replace(x, ABOUT_COPYRIGHT, "$1\u0001$2")
     x = F.regexp_replace(x, COPYRIGHT_LINE, "")
     x = F.regexp_replace(x, NOT_WORD, " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
@@ -39,12 +46,12 @@ def digest(lines: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id): the digests that come with the library and those of further texts, by id."""
+    """(digest, license_id): the digests that come with the library and those of further texts, by id. Of several ids with one digest the least counts."""
     rows = spark.createDataFrame(sorted(DIGESTS.items()), "digest string, license_id string")
-    if texts:
-        more = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-        rows = rows.unionByName(more.select(digest(canonical_lines(F.col("text"))).alias("digest"), "license_id"))
-    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if not texts:
+        return rows
+    more = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
+    return rows.unionByName(more.select(digest(canonical_lines(F.col("text"))).alias("digest"), "license_id")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,8 +59,8 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
 
     The whole text of a document is one unit ('text', line 0); if it has several lines with words, each of them is also
     a unit of its own ('line', counted from 1 over lines with words), so a notice of one line inside a document is found.
-    A unit matches if its canonical form has a known digest; nothing shorter is compared. One pass without a shuffle:
-    the known digests are a small relation that Catalyst broadcasts while its size allows, and joins by hash otherwise.
+    A unit matches if its canonical form has a known digest; nothing shorter is compared. Digests are counted first: up to BROADCAST_ROWS of them are
+    broadcast, and the texts are read in one pass without a shuffle; more are joined by a shuffle of digests.
     A null or empty text, or one without letters and digits, matches nothing. A null id stays null, repeated rows give
     repeated rows, an empty table none; further columns are ignored. Long texts are digested whole.
     """
@@ -64,12 +71,13 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
         "id",
         F.posexplode(F.concat(F.array("whole"), F.when(F.size("lines") > 1, F.transform("lines", lambda x: F.sha2(x, 256))).otherwise(F.array().cast("array<string>")))).alias("line_no", "digest"),
     )
-    found = units.join(licenses, "digest")
+    found = units.join(F.broadcast(licenses) if licenses.count() <= BROADCAST_ROWS else licenses, "digest")
     return found.select(F.col("id").alias(id_col), F.when(F.col("line_no") == 0, "text").otherwise("line").alias("unit"), "line_no", "license_id")
 
 
 def _sql_canonical(text: str) -> str:
     x = f"regexp_replace(lower({text}), '\\r', chr(10), 'g')"
+    x = f"regexp_replace({x}, '{ABOUT_COPYRIGHT}', '\\1\u0001\\2', 'g')"
     x = f"regexp_replace({x}, '{COPYRIGHT_LINE}', '', 'g')"
     x = f"regexp_replace({x}, '{NOT_WORD}', ' ', 'g')"
     x = f"regexp_replace({x}, ' ?\\n[ \\n]*', chr(10), 'g')"
