@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import filesystem, materialise, new_path
 
-#: Neighbours of a row, bits of an attribute's quantised value, rows of a segment of the index and of a block of queries.
-TOP, BITS, SEGMENT_ROWS, QUERY_ROWS = 10, 7, 8192, 1024
+#: Neighbours of a query, bits of an attribute's quantised value, rows of a segment of the index, of a block of queries, and segments that one task goes through.
+TOP, BITS, SEGMENT_ROWS, QUERY_ROWS, GROUP_SEGMENTS = 10, 7, 8192, 256, 4
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -90,12 +92,16 @@ class Segment:
             slices = out
         return slices[:, 0]
 
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and distances (sum of absolute differences) of at least the k nearest rows, ties included.
+    def top(self, query: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and distances (sum of absolute differences) of at least the k nearest rows, ties included; rows beyond ``bound`` may be left out.
 
         From the most significant slice down, the rows that still may hold the k-th least sum are narrowed until its bits are known. Rows whose sum
         is near enough to it that rounding could hide a nearer one are the boundary: their distances are computed from the vectors themselves.
         """
+        wide = query.astype(np.float64)
+        beyond = bound - float(np.abs(wide - np.clip(wide, self.low, self.high)).sum()) * (1 - 1e-9)  # what is left of the bound inside the segment's frame
+        if beyond < 0:
+            return np.zeros(0, np.int64), np.zeros(0)
         parts, off = self.differences(query)
         slices = self.total(parts)
         open_rows, below, least = self.present.copy(), 0, 0
@@ -109,7 +115,10 @@ class Segment:
                 below += n
                 open_rows &= slices[b]
                 least |= 1 << b
-        most = min(int(least + self.rows.shape[1] + 2 * off + 1e-6 * (least + 1)) + 1, (1 << len(slices)) - 1)
+        most = int(least + self.rows.shape[1] + 2 * off + 1e-6 * (least + 1)) + 1
+        if beyond / self.step + off < most:
+            most = int((beyond / self.step + off) * (1 + 1e-9)) + 1
+        most = min(most, (1 << len(slices)) - 1)
         less, equal = np.zeros_like(self.present), self.present.copy()
         for b in range(len(slices) - 1, -1, -1):
             if most >> b & 1:
@@ -118,7 +127,7 @@ class Segment:
             else:
                 equal &= ~slices[b]
         near = np.flatnonzero(np.unpackbits((less | equal).view(np.uint8), bitorder="little"))
-        return near, np.abs(self.rows[near].astype(np.float64) - query.astype(np.float64)).sum(1)
+        return near, np.abs(self.rows[near].astype(np.float64) - wide).sum(1)
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -128,18 +137,21 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & good).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("width", F.size("vector"))
 
 
-def search(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest other rows of every row by the sum of absolute differences, exactly: (<id>, rank, neighbour_id, distance).
+def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest other rows of each query by the sum of absolute differences, exactly: (<id>, rank, neighbour_id, distance). Without ``queries`` every row is one.
 
-    Rows are hashed to segments of about SEGMENT_ROWS, each with its bit-sliced index, and to blocks of queries; every block meets every segment,
-    keeps k rows a query there, and the best k over all segments remain. No segment is sent to all tasks at once. Ties go to the lesser id.
+    Rows are hashed to segments of about SEGMENT_ROWS, each with its bit-sliced index, written once in groups of GROUP_SEGMENTS; queries are packed in blocks. A task takes one
+    block through one group, reading a segment at a time, and carries each query's k-th distance from segment to segment, so a segment that lies beyond it costs
+    next to nothing; the best k over all groups remain. Nothing is broadcast, and a task holds one segment. Ties go to the lesser id.
     distance is rounded to 6 digits after ranking. Rows with a null id or vector, or an empty one, or one with a null, NaN or infinite element have no neighbours
-    and are none; an id that repeats counts once, with its least vector; a row is compared with rows of its own number of attributes. With fewer
-    than k others there are fewer rows; an empty table gives none. Further columns are ignored.
+    and are none; an id that repeats counts once, with its least vector; a query is compared with rows of its own number of attributes but its own id. With fewer
+    than k others there are fewer rows; an empty table on either side gives none. Further columns are ignored.
     """
     rows = materialise(_usable(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
-    segments, blocks = max(1, -(-n // SEGMENT_ROWS)), max(1, -(-n // QUERY_ROWS))
+    asked = rows if queries is None else materialise(_usable(queries, id_col, vector_col), "asked")
+    spark = vectors.sparkSession
+    segments, blocks = max(1, -(-rows.count() // SEGMENT_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    groups = -(-segments // GROUP_SEGMENTS)
 
     def pack(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
         table = table.sort_by("id")
@@ -148,37 +160,44 @@ def search(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col:
     def index(table: pa.Table) -> pa.Table:
         table, x = pack(table)
         slices, frame = Segment(x).to_bytes()
-        return pa.table({"width": table["width"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()]), "rows": pa.array([x.tobytes()]), "slices": pa.array([slices]), "frame": pa.array([frame])})
+        return pa.table({"group": pa.array([table["part"][0].as_py() % groups], pa.int64()), "width": table["width"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()]), "rows": pa.array([x.tobytes()]), "slices": pa.array([slices]), "frame": pa.array([frame])})
 
     def block(table: pa.Table) -> pa.Table:
         table, x = pack(table)
-        return pa.table({"q_width": table["width"][:1], "q_ids": pa.array([table["id"].to_numpy().tobytes()]), "q_rows": pa.array([x.tobytes()])})
+        return pa.table({"part": table["part"][:1], "q_width": table["width"][:1], "q_ids": pa.array([table["id"].to_numpy().tobytes()]), "q_rows": pa.array([x.tobytes()])})
 
     place = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
-    indexed = rows.select("*", place(segments)).groupBy("width", "part").applyInArrow(index, "width int, ids binary, rows binary, slices binary, frame binary")
-    asked = rows.select("*", place(blocks)).groupBy("width", "part").applyInArrow(block, "q_width int, q_ids binary, q_rows binary")
-    indexed, asked = materialise(indexed, "bit-slices"), materialise(asked, "queries")
+    indexed = rows.select("*", place(segments)).groupBy("width", "part").applyInArrow(index, "group long, width int, ids binary, rows binary, slices binary, frame binary")
+    uri = new_path(spark, "bit-slices")
+    indexed.write.partitionBy("group").parquet(uri)
+    packed = materialise(asked.select("*", place(blocks)).groupBy("width", "part").applyInArrow(block, "part long, q_width int, q_ids binary, q_rows binary"), "queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                width = row["width"]
-                if width != row["q_width"]:
+                width, q_ids = row["q_width"], np.frombuffer(row["q_ids"], np.int64)
+                asked = np.frombuffer(row["q_rows"], np.float32).reshape(-1, width)
+                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)
+                files, folder = filesystem(f"{uri}/group={row['group']}")
+                if files.get_file_info(folder).type == pafs.FileType.NotFound:
                     continue
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                segment = Segment.from_bytes(np.frombuffer(row["rows"], np.float32).reshape(-1, width), row["slices"], row["frame"])
-                who, other, far = [], [], []
-                for q, vector in zip(q_ids.tolist(), np.frombuffer(row["q_rows"], np.float32).reshape(-1, width)):
-                    near, distance = segment.top(vector, k + 1)
-                    near, distance = near[ids[near] != q], distance[ids[near] != q]
-                    best = np.lexsort((ids[near], distance))[:k]
-                    who.append(np.full(len(best), q))
-                    other.append(ids[near[best]])
-                    far.append(distance[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (who, other, far)], ["id", "neighbour_id", "distance"])
-
-    met = asked.repartition(blocks).crossJoin(indexed.repartition(segments)).mapInArrow(meet, "id long, neighbour_id long, distance double")
+                for part in pads.dataset(folder, format="parquet", filesystem=files).to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1):
+                    for j in range(part.num_rows):
+                        if part.column("width")[j].as_py() != width:
+                            continue
+                        ids = np.frombuffer(part.column("ids")[j].as_py(), np.int64)
+                        segment = Segment.from_bytes(np.frombuffer(part.column("rows")[j].as_py(), np.float32).reshape(-1, width), part.column("slices")[j].as_py(), part.column("frame")[j].as_py())
+                        for q, (found, far) in enumerate(best):
+                            near, distance = segment.top(asked[q], k + 1, far[-1] if len(far) == k else np.inf)
+                            own = ids[near] != q_ids[q]
+                            found, far = np.concatenate((found, ids[near[own]])), np.concatenate((far, distance[own]))
+                            order = np.lexsort((found, far))[:k]
+                            best[q] = found[order], far[order]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f) for f, _ in best])), *(pa.array(np.concatenate(x)) for x in zip(*best))], ["id", "neighbour_id", "distance"])
+
+    pairs = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(max(blocks * groups, 1), "q_width", "part", "group")
+    met = pairs.mapInArrow(meet, "id long, neighbour_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id")).alias("rank")
     return met.select("id", rank, "neighbour_id", "distance").where(F.col("rank") <= k).select(F.col("id").alias(id_col), "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
@@ -187,6 +206,6 @@ SEARCH_SQL = f"""
 WITH base AS (SELECT vec_id, min(embedding) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
 pairs AS (
     SELECT a.vec_id, b.vec_id AS neighbour_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)))) AS d
-    FROM base a JOIN base b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+    FROM base a JOIN base b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour_id) AS r FROM pairs)
 SELECT vec_id, CAST(r AS INTEGER) AS rank, neighbour_id, round(d, 6) AS distance FROM ranked WHERE r <= {TOP}"""
