@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +18,8 @@ from lodestone.llm.common import filesystem, new_path
 
 #: Keys of one index bucket on average, and bits a key at each level of its hash.
 BUCKET_KEYS, GAMMA = 10_000, 2
+#: Payload bytes handed on at once, ids of a shard that one task reads in a row, and answers to one key that one task gives.
+HELD_BYTES, REGION, REPEATS = 8 << 20, 16 << 20, 10_000
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,11 +95,12 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write token ids as raw little-endian integers (uint16 where the vocabulary fits, else uint32), one shard file a task, and return where each document lies: (key, shard, at, n_tokens).
+    """Write token ids as raw little-endian integers (uint16 where the vocabulary fits, else uint32), one shard file a task, and return where each document lies: (key, shard, at, n_tokens, digest).
 
-    ``at`` counts ids, not bytes. A shard's name is unique to the attempt that wrote it, so a repeated or speculative
+    ``at`` counts ids, not bytes; ``digest`` is 64 bits of a hash of the payload. A shard's name is unique to the attempt that wrote it, so a repeated or speculative
     task never harms another's file; only shards that the written locations name belong to the store. Payloads are never
-    shuffled. A null key has no place in a keyed store and is left out; a null text is stored as no ids.
+    shuffled. A null key has no place in a keyed store and is left out; a null text is stored as no ids, like an empty one. Repeated rows are each stored, a long
+    text whole; an empty table writes nothing; further columns are ignored.
     """
     width = 2 if len(load(vocabulary, pattern).strings) <= 1 << 16 else 4
 
@@ -106,16 +110,18 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
         shard, out, at = f"{uuid.uuid4().hex}.u{8 * width}", None, 0
         try:
             for batch in batches:
-                places, counts = [], []
+                places, counts, digests = [], [], []
                 for text in batch.column(1).to_pylist():
                     ids = np.array(encode(text) if text else [], f"<u{width}")
+                    data = ids.tobytes()
                     if out is None:
                         out = files.open_output_stream(f"{folder}/{shard}")
-                    out.write(ids.tobytes())
+                    out.write(data)
                     places.append(at)
                     counts.append(len(ids))
+                    digests.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(counts, pa.int32())], ["key", "shard", "at", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(counts, pa.int32()), pa.array(digests, pa.int64())], ["key", "shard", "at", "n_tokens", "digest"])
         finally:
             if out is not None:
                 out.close()
@@ -123,7 +129,7 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
     files, folder = filesystem(uri)
     files.create_dir(folder, recursive=True)
     keyed = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].alias("text")).where("key is not null")
-    keyed.mapInArrow(run, "key long, shard string, at long, n_tokens int").write.parquet(f"{uri}/locations")
+    keyed.mapInArrow(run, "key long, shard string, at long, n_tokens int, digest long").write.parquet(f"{uri}/locations")
     return docs.sparkSession.read.parquet(f"{uri}/locations")
 
 
@@ -134,15 +140,16 @@ def _bucket(key: str, buckets: int):
 def write_index(locations: DataFrame, uri: str) -> DataFrame:
     """Write the index of a store: one row a bucket of keys with the bucket's minimal perfect hash and, by slot, the fingerprint, shard, offset and length.
 
-    Only (key, shard, at, n_tokens) moves, never a payload. Of a key that occurs several times the first place counts, by shard and offset.
+    Only locations move, never a payload. A key has one place. Of a key that occurs several times, with different texts, the one with the most ids counts, of equally long ones that with
+    the least digest, so it is the same text however often the store is written; repeats are dropped before keys meet their bucket. Without locations there are no buckets.
     """
     spark = locations.sparkSession
+    best = F.min(F.struct((-F.col("n_tokens")).alias("most"), "digest", "shard", "at")).alias("best")
+    places = locations.groupBy("key").agg(best).select("key", "best.shard", "best.at", (-F.col("best.most")).alias("n_tokens"))
     buckets = max(1, -(-locations.count() // BUCKET_KEYS))
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("shard", "ascending"), ("at", "ascending")])
-        keys = table["key"].to_numpy()
-        table = table.filter(pa.array(np.append(True, keys[1:] != keys[:-1])))
+        table = table.sort_by("key")
         keys = table["key"].to_numpy().view(np.uint64)
         hashed = MinimalHash.build(keys)
         order = np.argsort(hashed(keys))
@@ -154,7 +161,7 @@ def write_index(locations: DataFrame, uri: str) -> DataFrame:
             "ats": cell(table["at"].to_numpy(), np.int64), "lengths": cell(table["n_tokens"].to_numpy(), np.int32),
         })
 
-    keyed = locations.select(_bucket("key", buckets).alias("bucket"), "key", "shard", "at", "n_tokens")
+    keyed = places.select(_bucket("key", buckets).alias("bucket"), "key", "shard", "at", "n_tokens")
     schema = "bucket int, hash binary, fingerprints binary, shards array<string>, shard_no binary, ats binary, lengths binary"
     keyed.groupBy("bucket").applyInArrow(build, schema).withColumn("buckets", F.lit(buckets)).write.parquet(f"{uri}/index")
     return spark.read.parquet(f"{uri}/index")
@@ -163,16 +170,16 @@ def write_index(locations: DataFrame, uri: str) -> DataFrame:
 def lookup(keys: DataFrame, uri: str, key_col: str = "doc_id") -> DataFrame:
     """Fetch payloads by key: (key, found, shard, at, n_tokens, payload), a row for each row of ``keys``; payload holds the raw ids, see ids().
 
-    A key costs one hash, one fingerprint and one read at a known offset, however large the store. Keys meet their bucket
-    in one shuffle of keys; a task opens the buckets and shards it needs. A key that is absent (or null) has found =
-    false and nulls; 1 absent key in 2^32 is taken for another by its fingerprint.
+    A key costs one hash, one fingerprint and one read at a known offset, however large the store. Distinct keys meet their bucket in one shuffle and get places; places gather by shard and
+    region, and payloads are read there and handed on HELD_BYTES at a time, so neither a bucket's payloads nor the answers to a key that is asked for very often are ever held together. A key that is absent (or null) has found =
+    false and nulls; 1 absent key in 2^32 is taken for another by its fingerprint. Further columns of ``keys`` are ignored; without keys there are no rows.
     """
     spark = keys.sparkSession
     index = spark.read.parquet(f"{uri}/index")
     head = index.select("buckets").head()
     buckets = head[0] if head else 1
 
-    def fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         asked = left["key"]
         n = len(asked)
         numbers = np.full(n, -1, np.int64)
@@ -189,32 +196,51 @@ def lookup(keys: DataFrame, uri: str, key_col: str = "doc_id") -> DataFrame:
         take = lambda name, kind: np.frombuffer(row[name], kind)[slot] if hit.any() else np.zeros(n, kind)
         shard, at, length = take("shard_no", np.int32), take("ats", np.int64), take("lengths", np.int32)
         names = row["shards"] if hit.any() else [""]
-        payloads = [None] * n
+        return pa.table({"key": asked, "times": left["times"], "shard": pa.array([names[s] if h else None for s, h in zip(shard, hit)], pa.string()), "at": pa.array(at, mask=~hit), "n_tokens": pa.array(length, mask=~hit)})
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = filesystem(uri)
-        opened = {}
+        name = file = None
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = {"key": pa.int64(), "found": pa.bool_(), "shard": pa.string(), "at": pa.int64(), "n_tokens": pa.int32(), "payload": pa.binary()}
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+            rows.clear()
+            return out
+
         try:
-            for i in np.lexsort((at, shard))[: n if hit.any() else 0]:
-                if not hit[i]:
-                    continue
-                name = names[shard[i]]
-                width = 2 if name.endswith("16") else 4
-                if name not in opened:
-                    opened[name] = files.open_input_file(f"{folder}/{name}")
-                payloads[i] = opened[name].read_at(int(length[i]) * width, int(at[i]) * width)
+            for batch in batches:
+                for key, shard, at, n, times in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "at", "n_tokens", "times"))):
+                    payload = None
+                    if shard is not None:
+                        if shard != name:
+                            if file is not None:
+                                file.close()
+                            name, file = shard, files.open_input_file(f"{folder}/{shard}")
+                        width = 2 if shard.endswith("16") else 4
+                        payload = file.read_at(n * width, at * width)
+                    for _ in range(times):
+                        rows.append((key, shard is not None, shard, at, n, payload))
+                        held += 64 + len(payload or b"")
+                        if held >= HELD_BYTES:
+                            yield flush()
+                            held = 0
+            if rows:
+                yield flush()
         finally:
-            for file in opened.values():
+            if file is not None:
                 file.close()
-        miss = ~hit
-        return pa.table({
-            "key": asked, "found": pa.array(hit), "shard": pa.array([names[s] if h else None for s, h in zip(shard, hit)], pa.string()), "at": pa.array(at, mask=miss),
-            "n_tokens": pa.array(length, mask=miss), "payload": pa.array(payloads, pa.binary()),
-        })
 
-    asked = keys.select(F.col(key_col).cast("long").alias("key"))
+    asked = keys.select(keys[key_col].cast("long").alias("key")).groupBy("key").agg(F.count("*").alias("times"))
     asked = asked.withColumn("bucket", _bucket("key", buckets))
-    schema = "key long, found boolean, shard string, at long, n_tokens int, payload binary"
-    out = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(fetch, schema)
-    return out.withColumnRenamed("key", key_col)
+    places = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(find, "key long, times long, shard string, at long, n_tokens int")
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(REPEATS).cast("long"))).alias("turn")
+    places = places.select("key", "shard", "at", "n_tokens", "times", turn).withColumn("times", F.least(F.col("times") - F.col("turn"), F.lit(REPEATS)).cast("int"))
+    region = F.when(F.col("shard").isNotNull(), F.xxhash64("shard", F.floor(F.col("at") / REGION))).otherwise(F.xxhash64("key"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.repartition(tasks, region, "turn").sortWithinPartitions("shard", "at")
+    return ordered.mapInArrow(fetch, "key long, found boolean, shard string, at long, n_tokens int, payload binary").withColumnRenamed("key", key_col)
 
 
 def ids(payload: bytes, n_tokens: int) -> list[int]:
