@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from lodestone.llm.common import filesystem
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task owns, and of one read.
-SPLIT, READ = 8 << 20, 1 << 20
+SPLIT, READ = 1 << 20, 1 << 20
 SCHEMA = "path string, at long, record_type string, record_id string, url string, warc_date string, content_type string, headers map<string,string>, payload binary"
 
 
@@ -80,9 +81,10 @@ def _parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
         for line in data[at:end].split(b"\r\n")[1:]:
             name, colon, value = line.partition(b":")
             if colon:
-                fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+                name, value = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+                fields[name] = f"{fields[name]}, {value}" if name in fields else value
         size = fields.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
+        if not (size.isascii() and size.isdigit() and len(size) < 19) or end + 4 + int(size) > len(data):
             return
         yield fields.get("warc-type", ""), fields, data[end + 4 : end + 4 + int(size)]
         at = end + 4 + int(size)
@@ -90,6 +92,34 @@ def _parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
             at += 2
 
 
+def http_body(payload: bytes) -> bytes | None:
+    """The body of an HTTP response as the server meant it: chunks joined, gzip or deflate undone. What doesn't decode stays as it is; without the head's end there is no body."""
+    head, end, body = payload.partition(b"\r\n\r\n")
+    if not end:
+        return None
+    lines = [line.partition(b":") for line in head.lower().split(b"\r\n")[1:]]
+    fields = {name.strip(): value.strip() for name, _, value in lines}
+    if b"chunked" in fields.get(b"transfer-encoding", b""):
+        parts, at = [], 0
+        while (eol := body.find(b"\r\n", at)) >= 0:
+            size = body[at:eol].partition(b";")[0].strip()
+            if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size) or eol + 2 + int(size, 16) > len(body):
+                parts = None  # it was joined before it was stored
+                break
+            parts.append(body[eol + 2 : eol + 2 + int(size, 16)])
+            at = eol + 4 + int(size, 16)
+            if not int(size, 16):
+                break
+        body = body if parts is None else b"".join(parts)
+    if fields.get(b"content-encoding") in (b"gzip", b"x-gzip", b"deflate"):
+        for bits in (47, -15):
+            try:
+                return zlib.decompressobj(bits).decompress(body)
+            except zlib.error:
+                continue
+    return body
+
+
 class _Bytes:
     """A file from one offset on, read in pieces."""
 
@@ -144,13 +174,14 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
             at += 1
 
 
-def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
+def read(files: DataFrame, split: int = SPLIT, bodies: bool = False) -> DataFrame:
     """All records of .warc.gz files, a task reading byte ranges: (path, at, record_type, record_id, url, warc_date, content_type, headers, payload).
 
     ``files`` has (path, bytes). Each file is cut into ranges of ``split`` bytes; a record belongs to the range in which
     its member begins, whether or not it ends there, so each is read once, however files are cut. Members that don't decode, or aren't WARC,
     are passed over and the next good one is found again; a record whose length is wrong ends its member. Header names are
-    lower case in ``headers``; a missing field is null. Repeated rows of ``files`` give repeated records, null paths and empty files none.
+    lower case in ``headers``, the values of a repeated one joined by commas; a missing field is null. With ``bodies`` the payload of an HTTP response is its body, see http_body(). Repeated rows of ``files``
+    give repeated records, null paths and empty files none; further columns are ignored. A record is held whole by the task that reads it.
     """
     ranges = files.where("path is not null and bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -164,6 +195,8 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 with fs.open_input_file(inner) as file:
                     for at, data in members(file, size, start, min(start + split, size)):
                         for kind, fields, payload in _parse(data):
+                            if bodies and kind == "response" and fields.get("content-type", "").lower().startswith("application/http"):
+                                payload = http_body(payload) or b""
                             rows.append((path, at, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("content-type"), list(fields.items()), payload))
                             held += len(payload)
                         if held > 16 << 20:
@@ -176,6 +209,11 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def pages(records: DataFrame) -> DataFrame:
-    """The pages that write() wrote: (page_id, url, html)."""
-    html = F.when(F.col("headers")["warc-truncated"].isNull(), F.col("payload").cast("string"))
-    return records.where("record_type = 'resource'").select(F.col("headers")["warc-page-id"].cast("long").alias("page_id"), "url", html.alias("html"))
+    """The pages that records hold: (page_id, url, html), from resource records, as write() makes them, and from response records that read() gave with ``bodies``.
+
+    page_id is null where a record has no WARC-Page-ID, or none that is a number; html is null where the record says that it was truncated, and empty where its payload is.
+    Bytes that aren't UTF-8 become replacement characters. Repeated records give repeated rows, an empty table none.
+    """
+    html = F.when(F.col("headers")["warc-truncated"].isNull(), F.make_valid_utf8(F.col("payload").cast("string")))
+    page_id = F.expr("try_cast(headers['warc-page-id'] AS long)")
+    return records.where("record_type in ('resource', 'response')").select(page_id.alias("page_id"), "url", html.alias("html"))
