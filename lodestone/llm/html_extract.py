@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of training: pages (the first by hash of the id), and attribute tokens that get a weight.
-PAGES, TOKENS = 400, 2_000
+#: Bound of training: labelled pages, those that mark their content, the first by hash of the id.
+PAGES = 400
 TREES, DEPTH, RATE, BINS = 40, 3, 0.25, 32
 
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARKS = r"(?i)<(article|main)[\s/>]"
+_NAME, _TAG_END = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)"), re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -55,11 +56,60 @@ def _clean(text: str) -> str:
     return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\0")) if line)
 
 
+class _Tags:
+    """Tags of a page in order: next(at) gives (start, end, end tag or not, name, attributes) of the first that begins at or after at; name is empty for comments and declarations.
+
+    A tag ends at the first > outside quotes or, where a quote isn't closed in the rest of the page, at the first >. No place is looked at more than a few times, whatever the page:
+    what isn't found once up to the page's end isn't looked for again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.loose = page, page.rfind(">"), False
+
+    def _end(self, at: int) -> int:
+        """Where the tag that begins at at ends, past its >."""
+        page = self.page
+        i = at
+        while not self.loose:
+            m = _TAG_END.search(page, i)
+            if m is None:
+                self.loose = True
+            elif m[0] == ">":
+                return m.end()
+            else:
+                close = page.find(m[0], m.end())
+                if close < 0:
+                    self.loose = True
+                i = close + 1
+        return page.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0 or (at >= self.last and not page.startswith("<!--", at)):
+                return None
+            c = page[at + 1 : at + 2]
+            if c == "!" and page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            if c in ("!", "?"):
+                return at, page.find(">", at) + 1, False, "", ""
+            if m := _NAME.match(page, at + 1):
+                end = self._end(m.end())
+                return at, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+            at += 1
+
+
 def parse(page: str) -> Tree:
-    """A tree from any text: end tags that fit nothing are skipped, elements left open end with their parent, and a block ends an open paragraph. A head left open ends at the first text or tag that may not stand in it. Head, scripts, styles and comments have no nodes."""
-    tree, stack, run, at = Tree(), [0], [], 0
-    link_depth = links = inline = 0
+    """A tree from any text: end tags that fit nothing are skipped, elements left open end with their parent, and a block ends an open paragraph. A head left open ends at the first text or tag that may not stand in it. Head, scripts, styles and comments have no nodes.
+
+    Time grows with the length of the page alone, however it is malformed.
+    """
     page = page.replace("\0", " ")
+    tree, stack, run, at, tags = Tree(), [0], [], 0, _Tags(page)
+    places: dict[str, list[int]] = {}  # by tag, where in the stack its open elements are
+    link_depth = links = inline = 0
     head, unclosed = False, set()
 
     def flush() -> None:
@@ -71,28 +121,35 @@ def parse(page: str) -> Tree:
             run.clear()
         links = inline = 0
 
+    def shut_from(i: int) -> None:
+        for node in reversed(stack[i:]):
+            places[tree.tags[node]].pop()
+        del stack[i:]
+
+    def nearest(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     while True:
-        m = _PIECE.search(page, at)
-        between = page[at : m.start()] if m else page[at:]
+        found = tags.next(at)
+        between = page[at : found[0]] if found else page[at:]
         if head and between.strip():
             head = False
         if between and not head:
             run.append(between)
             if link_depth:
                 links += len(between.strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, end, tag, attributes = found
+        if not tag:
             continue
-        tag, end = m[2].lower(), bool(m[1])
         if tag == "head":
             head = not end
             continue
         if head and tag not in _IN_HEAD and (not end or tag == "body"):
             head = False
         if not end and tag in _RAW:
-            if tag == "svg" and m[3].endswith("/"):
+            if tag == "svg" and attributes.endswith("/"):
                 continue
             close = None if tag in unclosed else _RAW[tag].search(page, at)
             if close:
@@ -113,28 +170,22 @@ def parse(page: str) -> Tree:
             continue
         flush()
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if tree.tags[stack[i]] == tag:
-                    del stack[i:]
-                    break
+            if i := nearest((tag,)):
+                shut_from(i)
             continue
         if tree.tags[stack[-1]] == "p":
-            stack.pop()
+            shut_from(len(stack) - 1)
         shut, within = _CLOSES.get(tag, ((), ()))
-        for i in range(len(stack) - 1, 0, -1):
-            name = tree.tags[stack[i]]
-            if name in within:
-                break
-            if name in shut:
-                del stack[i:]
-                break
-        if tag in ("html", "body") and any(tree.tags[s] == tag for s in stack):
+        if shut and (i := nearest(shut)) > nearest(within):
+            shut_from(i)
+        if tag in ("html", "body") and places.get(tag):
             continue
         tokens = ()
-        if m[3] and "=" in m[3]:
-            tokens = tuple(t.lower() for a in _ATTRIBUTE.findall(m[3]) for t in _TOKEN.findall(a[0] or a[1] or a[2]))
+        if "=" in attributes:
+            tokens = tuple(t.lower() for a in _ATTRIBUTE.findall(attributes) for t in _TOKEN.findall(a[0] or a[1] or a[2]))
         node = tree.add(tag, stack[-1], tokens)
         if tag not in _VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     flush()
     return tree
@@ -273,16 +324,21 @@ def marked(tree: Tree) -> np.ndarray | None:
     return y
 
 
-def fit(pages: list[str], tokens: int = TOKENS) -> Boosted:
-    """Train on the pages that mark their content. Each is seen twice: as it is, and with article, nav and their like taken for div, so that pages without them are read as well."""
+def fit(pages: list[str]) -> Boosted:
+    """Train on the pages that mark their content. Each is seen twice: as it is, and with article, nav and their like taken for div, so that pages without them are read as well.
+
+    Every attribute token has a weight, the log of its odds for content; a rare one's is drawn towards 0 by half for every three occurrences that it lacks.
+    """
     examples = [(tree, y) for tree in map(parse, pages) if (y := marked(tree)) is not None]
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for tree, y in examples:
         for own, label in zip(tree.tokens, y):
             counts[int(label)].update(set(own))
     total = [1 + sum(int((y == label).sum()) for _, y in examples) for label in (0, 1)]
-    common = sorted(counts[0] | counts[1], key=lambda w: (-counts[0][w] - counts[1][w], w))[:tokens]
-    weights = {w: float(np.log((counts[1][w] + 1) / total[1]) - np.log((counts[0][w] + 1) / total[0])) for w in common if counts[0][w] + counts[1][w] >= 3}
+    weights = {}
+    for w in sorted(counts[0] | counts[1]):
+        n = counts[0][w] + counts[1][w]
+        weights[w] = float(np.log((counts[1][w] + 1) / total[1]) - np.log((counts[0][w] + 1) / total[0])) * n * n / (n * n + 9)
     xs = [features(tree, weights, plain) for tree, _ in examples for plain in (False, True)]
     ys = [y for _, y in examples for _ in range(2)]
     model = boost(np.vstack(xs) if xs else np.zeros((0, len(NAMES))), np.concatenate(ys) if ys else np.zeros(0))
@@ -291,9 +347,16 @@ def fit(pages: list[str], tokens: int = TOKENS) -> Boosted:
 
 
 def train(pages: DataFrame, sample: int = PAGES) -> Boosted:
-    """fit() on at most ``sample`` pages, the first by hash of page_id, that hold an article or main element. Without any, every node is as likely as not and all text is kept."""
-    html = F.col("html")
-    rows = pages.select("page_id", "html").where(html.isNotNull() & (html.contains("<article") | html.contains("<main"))).sort(F.xxhash64("page_id"), "page_id", "html").limit(sample)
+    """fit() on at most ``sample`` pages that hold an article or main element, in any case of letters: the first by hash of page_id. Without any, every node is as likely as not and all text is kept.
+
+    The ids are chosen first, then their pages fetched, so the driver never gets more than the sample. Of a page_id that repeats the least page counts; null ids and pages are no examples.
+    """
+    marking = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & F.col("html").rlike(_MARKS))
+    chosen = marking.select("page_id").distinct().sort(F.xxhash64("page_id"), "page_id").limit(sample)
+    ids = [r.page_id for r in chosen.collect()]
+    if not ids:
+        return fit([])
+    rows = marking.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).sort(F.xxhash64("page_id"), "page_id")
     return fit([r.html for r in rows.collect()])
 
 
