@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import filesystem, new_path
+
 WORD = re.compile(r"[^\W_]+")
 #: Words in a row that count as a leak; an item of fewer words is looked for whole if it has at least SHORTEST words.
 WINDOW, SHORTEST = 8, 5
-#: Characters of normalised benchmark text in one automaton. A larger benchmark is split over several, each with a pass of its own, so memory stays bounded.
-AUTOMATON_CHARS = 16_000_000
+#: Bytes of benchmark text in one automaton, which has about a node a word and place in a window: some 70 bytes of memory a byte of text were measured. A larger benchmark is
+#: split over several automata, each with a pass of its own.
+PART_BYTES = 2 << 20
+#: Characters of a text that are cut into words at a time.
+PIECE = 1 << 20
 
 
 def normalise(text: str) -> str:
@@ -24,86 +30,122 @@ def normalise(text: str) -> str:
     return " ".join(WORD.findall(text)).lower()
 
 
-@lru_cache(maxsize=2)
-def automaton(items: tuple[tuple[int, str], ...], window: int, shortest: int) -> ahocorasick.Automaton:
-    """All windows of all items: ' w1 .. wn ' -> (number of words, item ids)."""
-    found: dict[str, tuple[int, list[int]]] = {}
-    for item, text in items:
-        words = normalise(text).split(" ")
-        n = min(window, len(words))
-        if n < min(shortest, window) or words == [""]:
-            continue
-        for i in range(len(words) - n + 1):
-            ids = found.setdefault(" " + " ".join(words[i : i + n]) + " ", (n, []))[1]
-            if item not in ids[-1:]:
-                ids.append(item)
-    out = ahocorasick.Automaton()
-    for pattern, value in found.items():
-        out.add_word(pattern, value)
-    if found:
-        out.make_automaton()
-    return out
-
-
-def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words) of each maximal run of matching windows; start and end are characters of the text itself."""
-    normal = " " + normalise(text) + " "
-    hits = list(automaton.iter(normal)) if len(automaton) else []
-    if not hits:
-        return []
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    starts, at = [], 1
-    for a, b in places:
-        starts.append(at)
-        at += len(text[a:b].lower()) + 1
-    runs: dict[int, list[list[int]]] = {}
-    for end, (n, items) in hits:
-        last = bisect_right(starts, end - 1) - 1
-        for item in items:
-            own = runs.setdefault(item, [])
-            if own and own[-1][2] == last - 1 and n == own[-1][3]:
-                own[-1][1:3] = [last, last]
-            else:
-                own.append([last - n + 1, last, last, n])
-    return sorted((item, places[a][0], places[b][1], b - a + 1) for item, own in runs.items() for a, b, _, _ in own)
-
-
-def _parts(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
-    """Items in parts of at most AUTOMATON_CHARS characters (or one item)."""
+class Machine:
+    """All windows of some items in one automaton, whose symbols are words: a window ends -> its number of words, and the items that have it."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, shortest: int = SHORTEST):
+        self.window, self.numbers, found = window, {}, {}
+        for item, text in items:
+            words = normalise(text).split(" ")
+            n = min(window, len(words))
+            if n < min(shortest, window) or words == [""]:
+                continue
+            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            for i in range(len(ids) - n + 1):
+                own = found.get(at := tuple(ids[i : i + n]), ())
+                if item not in own[-1:]:
+                    found[at] = (*own, item)
+        self.automaton, self.owners = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
+        same: dict[tuple[int, ...], int] = {}
+        for pattern, own in found.items():
+            if own not in same:
+                same[own] = len(self.owners)
+                self.owners.append(tuple(sorted(set(own))))
+            self.automaton.add_word(pattern, same[own] * (window + 1) + len(pattern))
+        if found:
+            self.automaton.make_automaton()
+
+    def _numbers(self, text: str) -> list[int]:
+        get, normal = self.numbers.get, normalise(text)
+        return [get(w, 0) for w in normal.split(" ")] if normal else []
+
+    def finds(self, text: str) -> bool:
+        """Whether any window is in a text."""
+        tail: list[int] = []
+        for a, b in _pieces(text) if self.numbers else ():
+            ids = tail + self._numbers(text[a:b])
+            if next(self.automaton.iter(tuple(ids)), None) is not None:
+                return True
+            tail = ids[-self.window + 1 :] if self.window > 1 else []
+        return False
+
+    def spans(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, words) of each maximal run of matching windows; start and end are characters of the text itself."""
+        runs: dict[int, list[list[int]]] = {}
+        tail, tail_places, before = [], [], 0  # the last words of the piece before, their places, and how many words came before them
+        for a, b in _pieces(text) if self.numbers else ():
+            piece = text[a:b]
+            ids = tail + self._numbers(piece)
+            hits = [h for h in self.automaton.iter(tuple(ids)) if h[0] >= len(tail)] if ids else []
+            places = tail_places + [(a + m.start(), a + m.end()) for m in WORD.finditer(piece)] if hits or b < len(text) else []
+            for at, value in hits:
+                owners, n = divmod(value, self.window + 1)
+                last = before + at
+                for item in self.owners[owners]:
+                    own = runs.setdefault(item, [])
+                    if own and own[-1][0] == last - 1 and n == own[-1][3]:
+                        own[-1][0], own[-1][2] = last, places[at][1]
+                    else:
+                        own.append([last, places[at - n + 1][0], places[at][1], n, last])
+            keep = min(self.window - 1, len(ids))
+            before += len(ids) - keep
+            tail, tail_places = ids[len(ids) - keep :], places[len(places) - keep :] if places else []
+        return sorted((item, start, end, last - first + n) for item, own in runs.items() for last, start, end, n, first in own)
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE characters that cut no word."""
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text) and (rest := WORD.match(text, end)):
+            end = rest.end()
+        yield at, end
+        at = end
+
+
+def _parts(benchmark: DataFrame) -> tuple[str, int]:
+    """Write distinct items in parts of about PART_BYTES, each item to the part of its hash: (where, number of parts). Nothing of them comes to the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    parts, size = [[]], 0
-    for row in items.sort("item_id", "text").toLocalIterator():
-        if size + len(row.text) > AUTOMATON_CHARS and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.item_id, row.text))
-        size += len(row.text)
-    return [tuple(p) for p in parts]
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    uri = new_path(benchmark.sparkSession, "benchmark")
+    items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))).repartition(parts, "part").write.partitionBy("part").parquet(uri)
+    return uri, parts
+
+
+@lru_cache(maxsize=1)
+def machine(uri: str, part: int, window: int, shortest: int) -> Machine:
+    """The automaton of one written part; a worker builds it once and holds one at a time."""
+    files, folder = filesystem(f"{uri}/part={part}")
+    if files.get_file_info(folder).type == pafs.FileType.NotFound:
+        return Machine([], window, shortest)
+    rows = pads.dataset(folder, format="parquet", filesystem=files).to_table(columns=["item_id", "text"]).sort_by([("item_id", "ascending"), ("text", "ascending")])
+    return Machine(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())), window, shortest)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of benchmark items in texts: (doc_id, item_id, start_char, end_char, n_words).
 
     Every item's normalised text is cut into windows of ``window`` words (an item of fewer words, but at least
-    ``shortest``, is one window); one automaton holds all of them and each normalised text is scanned once. Windows that
+    ``shortest``, is one window); one automaton over words holds all of them and each normalised text is scanned once. Windows that
     match at consecutive words make one row, with its characters in the original text. A window that several items
-    contain counts for each. The benchmark is read to the driver in parts of AUTOMATON_CHARS, so it need not fit at once.
+    contain counts for each. A benchmark of more than PART_BYTES is written in parts, with a pass over the texts for each, so a worker holds one part's automaton; an item is never split.
     Null or empty texts and items match nothing, as do items shorter than ``shortest``; null item ids are dropped, null
     document ids kept; repeated documents give repeated rows, repeated items none; empty tables give no rows. Long texts
-    are scanned whole; further columns are ignored.
+    are scanned whole, a piece at a time; further columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base, out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), None
-    for part in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    uri, parts = _parts(benchmark)
+    for part in range(parts):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value, window, shortest)
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            own = machine(uri, part, window, shortest)
             for batch in batches:
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     if text:
-                        for row in spans(text, machine):
+                        for row in own.spans(text):
                             at.append(i)
                             rows.append(row)
                 item, start, end, words = zip(*rows) if rows else ([], [], [], [])
@@ -115,16 +157,18 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, text_col: str = "text") -> DataFrame:
-    """The rows of docs in which find() finds nothing, with all their columns: one pass a part of the benchmark, without a shuffle."""
+    """The rows of docs in which find() finds nothing, with all their columns: one pass a part of the benchmark, without a shuffle.
+
+    Null and empty texts stay, as do rows with a null id; repeated rows stay or go together; an empty benchmark leaves all rows, and an empty table gives none.
+    """
     at_text = docs.columns.index(text_col)
-    for part in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    uri, parts = _parts(benchmark)
+    for part in range(parts):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value, window, shortest)
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            own = machine(uri, part, window, shortest)
             for batch in batches:
-                texts = batch.column(at_text).to_pylist()
-                yield batch.filter(pa.array([not text or not len(machine) or next(machine.iter(f" {normalise(text)} "), None) is None for text in texts], pa.bool_()))
+                yield batch.filter(pa.array([not text or not own.finds(text) for text in batch.column(at_text).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
@@ -137,15 +181,13 @@ WITH words AS (
     SELECT 'b', item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') FROM benchmark WHERE text <> ''),
 pieces AS (SELECT kind, id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM words),
 placed AS (SELECT kind, id, piece, i, sum(length(piece)) OVER (PARTITION BY kind, id ORDER BY i) AS end_char FROM pieces),
-only_words AS (
-    SELECT kind, id, lower(piece) AS word, end_char - length(piece) AS start_char, end_char,
-        row_number() OVER (PARTITION BY kind, id ORDER BY i) AS k FROM placed WHERE regexp_matches(piece, '^[\p{{L}}\p{{N}}]')),
+only_words AS (SELECT kind, id, i, lower(piece) AS word, end_char - length(piece) AS start_char, end_char FROM placed WHERE regexp_matches(piece, '^[\p{{L}}\p{{N}}]')),
+listed AS (SELECT kind, id, list(word ORDER BY i) AS w, list(start_char ORDER BY i) AS starts, list(end_char ORDER BY i) AS ends FROM only_words GROUP BY kind, id),
+sized AS (SELECT id AS item_id, w, least(len(w), {WINDOW}) AS n FROM listed WHERE kind = 'b' AND len(w) >= {SHORTEST}),
+items AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS text FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
 windows AS (
-    SELECT kind, id, k, string_agg(word, ' ') OVER w AS text, count(*) OVER w AS n, start_char, last_value(end_char) OVER w AS end_char
-    FROM only_words WINDOW w AS (PARTITION BY kind, id ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-items AS (SELECT DISTINCT id AS item_id, text FROM windows WHERE kind = 'b' AND n = {WINDOW}),
-hits AS (SELECT id AS doc_id, item_id, k, start_char, end_char, k - row_number() OVER (PARTITION BY id, item_id ORDER BY k) AS island
-    FROM windows JOIN items USING (text) WHERE kind = 'd' AND n = {WINDOW})
-SELECT doc_id, item_id, CAST(min(start_char) AS INTEGER) AS start_char, CAST(max(end_char) AS INTEGER) AS end_char,
-    CAST(max(k) - min(k) + {WINDOW} AS INTEGER) AS n_words
+    SELECT id AS doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS text, starts[k] AS start_char, ends[k + n - 1] AS end_char
+    FROM (SELECT id, w, starts, ends, n, unnest(range(1, len(w) - n + 2)) AS k FROM listed, (SELECT DISTINCT n FROM items) WHERE kind = 'd' AND len(w) >= n)),
+hits AS (SELECT doc_id, item_id, n, k, start_char, end_char, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS island FROM windows JOIN items USING (n, text))
+SELECT doc_id, item_id, CAST(min(start_char) AS INTEGER) AS start_char, CAST(max(end_char) AS INTEGER) AS end_char, CAST(max(k) - min(k) + any_value(n) AS INTEGER) AS n_words
 FROM hits GROUP BY doc_id, item_id, island"""
