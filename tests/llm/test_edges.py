@@ -98,6 +98,10 @@ def test_token_store(spark, awkward):
     rows = token_store.lookup(keys, uri).collect()
     assert len(rows) == 7 and {r[0] for r in rows if not r.found} == {77, None}
     assert [r.n_tokens for r in rows if r[0] in (2, 3)] == [0, 0]
+    two = docs(spark, [(1, "a few words"), (1, "some other words"), (1, "a few words"), (1, None), (2, "a few words")])
+    one = docs(spark, [(2, "a few words"), (1, "some other words"), (1, "a few words")])
+    kept = [{r[0]: bytes(r.payload) for r in token_store.lookup(keys, token_store.store(spark, d.repartition(n))).collect() if r.found} for d, n in ((two, 1), (two, 3), (one, 2), (two, 5), (one, 1))]
+    assert kept[0].keys() == {1, 2} and kept[0][1] != b"" and all(k == kept[0] for k in kept)
     empty = token_store.store(spark, docs(spark, []))
     assert not any(r.found for r in token_store.lookup(keys, empty).collect())
     assert token_store.lookup(keys.limit(0), uri).count() == 0
@@ -124,6 +128,8 @@ def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [nan, 1.0]), (7, [inf, 0.0]), (8, [None, 1.0]), (None, [0.0, 0.0]), (9, [1.0, 2.0, 3.0])]
     vectors = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, id int, part int")
-    found = {(r.vec_id, r["rank"], r.neighbour_id, r.distance) for r in bit_sliced.search(vectors, 2).collect()}
+    found = {(r.vec_id, r["rank"], r.neighbour_id, r.distance) for r in bit_sliced.search(vectors, k=2).collect()}
     assert found == {(1, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 2.0), (3, 1, 1, 1.0), (3, 2, 2, 2.0)}
-    assert bit_sliced.search(vectors.where(F.lit(False))).count() == 0
+    none = vectors.where(F.lit(False))
+    assert bit_sliced.search(none).count() == 0 and bit_sliced.search(vectors, none).count() == 0 and bit_sliced.search(none, vectors).count() == 0
+    assert {(r.vec_id, r["rank"], r.neighbour_id) for r in bit_sliced.search(vectors, vectors.where("vec_id = 2"), k=1).collect()} == {(2, 1, 1)}
