@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it, in the syntax that Java and RE2 share.
 SPACE = r"[\t\n\x0B\f\r \x{85}\p{Z}]+"
 PUNCTUATION = r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
+#: The same at the ends of all of a text's tokens at once.
+EDGES = r"(?<![^\t\n\x0B\f\r \x{85}\p{Z}])[\p{P}\p{S}]+|[\p{P}\p{S}]+(?![^\t\n\x0B\f\r \x{85}\p{Z}])"
 
-ENGLISH_STOP_WORDS = tuple(reversed("you your|with will were|was to this|the that or|on of its it|is in he|have has from|for by but|be at as are|and an a".replace("|", " ").split()))
+ENGLISH_STOP_WORDS = tuple("a an and are as at be but by for from has have he in is it its of on or that the this to was were will with you your".split())
 RUSSIAN_STOP_WORDS = tuple(sorted(set(
     "бы был было быть | вам вас вот все вы в во | да даже для до | его ее ему если ещё еще | же | за | и из или им их | к как который которая которые которых | "
     "ли | между меня мне может можно мы | на над нам не него нет ним них но ну нужно | о он она они оно от | по под при | с со сам сама свой своя свои своего своих себя | "
@@ -81,15 +83,16 @@ def py_letters_and_digits(text: str, least: int = 1) -> list[str]:
 
 @dataclass(frozen=True)
 class Filter:
-    """A step of an analyzer: for columns of tokens, and for a list of tokens. ``stem`` marks a step word -> word that runs on the dictionary of distinct terms instead."""
+    """A step of an analyzer: for columns of tokens, and for a list of tokens. ``stem`` marks a step word -> word that runs in Python, once for each distinct word. ``text`` does the same to a whole text before it is cut at white space."""
 
     column: Callable[[Column], Column] | None
     words: Callable[[list[str]], list[str]]
     stem: Callable[[str], str] | None = None
+    text: Callable[[Column], Column] | None = None
 
 
-LOWERCASE = Filter(lowercase, lambda ts: [t.lower() for t in ts])
-STRIP = Filter(strip_punctuation, lambda ts: [s for t in ts if (s := py_strip(t))])
+LOWERCASE = Filter(lowercase, lambda ts: [t.lower() for t in ts], text=F.lower)
+STRIP = Filter(strip_punctuation, lambda ts: [s for t in ts if (s := py_strip(t))], text=lambda t: F.regexp_replace(t, EDGES, ""))
 
 
 def stop_words(words: Iterable[str]) -> Filter:
@@ -103,25 +106,25 @@ def stemmer(stem: Callable[[str], str]) -> Filter:
 
 @dataclass(frozen=True)
 class Analyzer:
-    """A tokenizer and filters in order. Stemmers come last, as they are applied to distinct terms."""
+    """A tokenizer and filters in order. Filters up to the first stemmer are column expressions; from there on they run in Python, once for each distinct word."""
 
     filters: tuple[Filter, ...] = (LOWERCASE, STRIP)
     tokenizer: Callable[[Column], Column] = tokenize
     splitter: Callable[[str], list[str]] = py_tokenize
-    stems: tuple[Callable[[str], str], ...] = field(init=False)
+    stems: tuple[Filter, ...] = field(init=False)
 
     def __post_init__(self) -> None:
-        kinds = [f.stem is not None for f in self.filters]
-        if kinds != sorted(kinds):
-            raise ValueError("stemmers must follow all other filters")
-        object.__setattr__(self, "stems", tuple(f.stem for f in self.filters if f.stem))
+        first = next((i for i, f in enumerate(self.filters) if f.stem is not None), len(self.filters))
+        object.__setattr__(self, "stems", self.filters[first:])
 
     def column(self, text: Column) -> Column:
-        """Tokens before stemming."""
+        """Tokens before stemming. Leading steps that can work on whole texts do, which costs far less than token by token."""
+        steps, text = list(self.filters[: len(self.filters) - len(self.stems)]), F.coalesce(text, F.lit(""))
+        while self.tokenizer is tokenize and steps and steps[0].text is not None:
+            text = steps.pop(0).text(text)
         out = self.tokenizer(text)
-        for step in self.filters:
-            if step.column is not None:
-                out = step.column(out)
+        for step in steps:
+            out = step.column(out)
         return out
 
     def __call__(self, text: str) -> list[str]:
@@ -130,10 +133,12 @@ class Analyzer:
             out = step.words(out)
         return out
 
-    def stem(self, word: str) -> str:
-        for one in self.stems:
-            word = one(word)
-        return word
+    def stem(self, word: str) -> str | None:
+        """What the steps from the first stemmer on make of a word; None if they drop it."""
+        out = [word]
+        for step in self.stems:
+            out = step.words(out)
+        return out[0] if out else None
 
 
 def default_analyzer() -> Analyzer:
@@ -146,6 +151,11 @@ def english_analyzer() -> Analyzer:
     return Analyzer((LOWERCASE, STRIP, stop_words(ENGLISH_STOP_WORDS), stemmer(porter)))
 
 
+def fuzzy_analyzer() -> Analyzer:
+    """For engines that expand words to near ones: the default steps, so that distances are those of whole words."""
+    return Analyzer()
+
+
 def bilingual_analyzer() -> Analyzer:
     from lodestone.functions.stemmers import porter, russian
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import Analyzer, py_tokenize, tokenize
+from lodestone.functions.text import Analyzer, py_tokenize
 
 
 @dataclass(frozen=True)
@@ -29,9 +30,22 @@ class Options:
         return Options(self.radius if self.radius > 0 else base.radius, *marks, self.ellipsis or base.ellipsis, self.fragments if self.fragments > 0 else base.fragments)
 
 
-def _hits(words: list[str], terms: list[str], analyze: Callable[[str], list[str]]) -> list[bool]:
-    wanted = set(terms)
-    return [not wanted.isdisjoint(analyze(w)) for w in words]
+#: Distinct words that a Hits remembers.
+REMEMBERED = 1_000_000
+
+
+class Hits(dict):
+    """word -> whether one of its terms is wanted; each distinct word is analysed once."""
+
+    def __init__(self, terms: list[str], analyze: Callable[[str], list[str]]):
+        super().__init__()
+        self.wanted, self.analyze = set(terms), analyze
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > REMEMBERED:
+            self.clear()
+        hit = self[word] = not self.wanted.isdisjoint(self.analyze(word))
+        return hit
 
 
 def _preview(words: list[str], options: Options) -> str:
@@ -39,12 +53,12 @@ def _preview(words: list[str], options: Options) -> str:
     return " ".join([*words[:end], options.ellipsis] if end < len(words) else words)
 
 
-def snippet(text: str, terms: list[str], analyze: Callable[[str], list[str]], options: Options = Options()) -> str:
+def snippet(text: str, terms: list[str], analyze: Callable[[str], list[str]], options: Options = Options(), hits: Hits | None = None) -> str:
     """One window from the first hit to the last with ``radius`` words on either side; without hits the first 2 * radius words."""
     o = options if options.opening or options.closing else Options()
     o = Options(o.radius if o.radius > 0 else 6, o.opening, o.closing, o.ellipsis or "...", o.fragments)
     words = py_tokenize(text)
-    hit = _hits(words, terms, analyze)
+    hit = list(map((Hits(terms, analyze) if hits is None else hits).__getitem__, words))
     if not any(hit):
         return _preview(words, o)
     first, last = hit.index(True), len(hit) - 1 - hit[::-1].index(True)
@@ -53,13 +67,13 @@ def snippet(text: str, terms: list[str], analyze: Callable[[str], list[str]], op
     return " ".join([o.ellipsis] * (start > 0) + shown + [o.ellipsis] * (end < len(words)))
 
 
-def spans(text: str, terms: list[str], analyze: Callable[[str], list[str]], options: Options = Options()) -> list[tuple[str, bool]]:
+def spans(text: str, terms: list[str], analyze: Callable[[str], list[str]], options: Options = Options(), hits: Hits | None = None) -> list[tuple[str, bool]]:
     """(text, is a hit) in order: windows of ``radius`` words around hits, joined where they touch, at most ``fragments`` of them."""
     o = options.filled()
     words = py_tokenize(text)
     if not words:
         return []
-    hit = _hits(words, terms, analyze)
+    hit = list(map((Hits(terms, analyze) if hits is None else hits).__getitem__, words))
     if not any(hit):
         return [(_preview(words, o), False)]
     windows: list[list[int]] = []
@@ -97,31 +111,25 @@ def highlights(text: str, terms: list[str], analyze: Callable[[str], list[str]],
 
 
 def snippet_column(text: Column, terms: list[str], analyzer: Analyzer, options: Options = Options()) -> Column:
-    """snippet() in the JVM, or in Arrow batches if the analyzer stems."""
-    if analyzer.stems:
-
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else snippet(t, terms, analyzer, options))
-
-        return run(text)
-    o = options
-    words = tokenize(text)
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    hit = F.transform(words, lambda w: F.arrays_overlap(analyzer.column(w), wanted))
-    size = F.size(words)
-    first = F.array_position(hit, True).cast("int")
-    last = size + 1 - F.array_position(F.reverse(hit), True).cast("int")
-    start, end = F.greatest(first - o.radius, F.lit(1)), F.least(last + o.radius, size)
-    marked = F.zip_with(words, hit, lambda w, h: F.when(h, F.concat(F.lit(o.opening), w, F.lit(o.closing))).otherwise(w))
-    shown = F.concat(F.when(start > 1, o.ellipsis + " ").otherwise(""), F.array_join(F.slice(marked, start, end - start + 1), " "), F.when(end < size, " " + o.ellipsis).otherwise(""))
-    preview = F.concat(F.array_join(F.slice(words, 1, 2 * o.radius), " "), F.when(size > 2 * o.radius, " " + o.ellipsis).otherwise(""))
-    return F.when(text.isNull(), None).when(first > 0, shown).otherwise(preview)
+    """snippet() in Arrow batches; a word that texts share is analysed once a task."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hits = Hits(terms, analyzer)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else snippet(t, terms, analyzer, options, hits))
+
+    return run(text)
 
 
 def spans_column(text: Column, terms: list[str], analyzer: Analyzer, options: Options = Options()) -> Column:
-    @F.udf("array<struct<text:string,match:boolean>>", useArrow=True)
-    def run(value):
-        return None if value is None else spans(value, terms, analyzer, options)
+    """spans() in Arrow batches."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("match", pa.bool_())]))
+
+    @F.arrow_udf("array<struct<text:string,match:boolean>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hits = Hits(terms, analyzer)
+        for texts in batches:
+            yield pa.array([None if t is None else [{"text": x, "match": m} for x, m in spans(t, terms, analyzer, options, hits)] for t in texts.to_pylist()], kind)
 
     return run(text)

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.functions.stemmers import stem_column
 from lodestone.functions.text import Analyzer, default_analyzer
 from lodestone.functions.varbyte import encoded_bytes
+from lodestone.sources.storage import remove
 
 
 def latest(docs: DataFrame, order: str | None = None) -> DataFrame:
-    """One row a doc_id: that with the greatest ``order``. Without an order ids must be unique already."""
-    if order is None:
-        return docs
-    newest = Window.partitionBy("doc_id").orderBy(F.col(order).desc())
-    return docs.withColumn("__newest", F.row_number().over(newest)).where("__newest = 1").drop("__newest")
+    """One row a doc_id: that with the greatest ``order``, which stands for time. Of equals, and without an order, the greatest row by its columns stays, so the choice is the same in every run."""
+    rest = [c for c in docs.columns if c not in ("doc_id", order)]
+    comparable = [c for c in rest if not docs.schema[c].dataType.simpleString().startswith("map")]
+    rank = F.struct(*([F.col(order).alias("__order")] if order else []), *(F.col(c).alias(f"__{i}") for i, c in enumerate(comparable)), F.lit(0).alias("__end"))
+    best = docs.groupBy("doc_id").agg(F.max_by(F.struct(*(F.col(c) for c in docs.columns if c != "doc_id")), rank).alias("__row"))
+    return best.select(*(F.col("doc_id") if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def tokens(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -26,20 +30,60 @@ def tokens(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     return docs.select("doc_id", analyzer.column(F.col("text")).alias("tokens"))
 
 
-def stemmed(occurrences: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Replace the column term by its stem. Only the dictionary of distinct terms goes through Python."""
-    if not analyzer.stems:
-        return occurrences
-    words = occurrences.select("term").distinct()
-    dictionary = words.select("term", stem_column(F.col("term"), analyzer.stem).alias("stem"))
-    return occurrences.join(dictionary, "term").withColumn("term", F.col("stem")).drop("stem")
+#: Distinct words whose stems a worker remembers.
+REMEMBERED = 1_000_000
+
+
+def entries(cut: DataFrame, analyzer: Analyzer, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, term, length, tf, positions) from rows (keys, tokens): the terms of each row, and one row with a null term and the row's length.
+
+    A row is cut into postings where it lies, in Arrow batches without a loop over tokens and without a shuffle; stems are worked out once for each distinct word. Positions count the tokens that
+    the analyzer leaves, from 0, and length is how many those are.
+    """
+    stems, at = analyzer.stems, len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            coded = pc.dictionary_encode(lists.flatten())
+            names, code, row = coded.dictionary.to_pylist() if stems else [], coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+            terms = coded.dictionary
+            if stems:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for name in names:
+                    if name not in known:
+                        known[name] = analyzer.stem(name)
+                stemmed = pc.dictionary_encode(pa.array([known[n] for n in names], pa.string()))
+                terms, number = stemmed.dictionary, stemmed.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                code = number[code]
+                code, row = code[code >= 0], row[code >= 0]
+            lengths = np.bincount(row, minlength=len(sizes))
+            position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            order = np.lexsort((position, code, row))
+            code, row, position = code[order], row[order], position[order]
+            starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, int)
+            every, n = np.arange(len(sizes)), len(sizes)
+            who = np.concatenate((row[starts], every))
+            tf = np.diff(np.append(starts, len(code))) if len(starts) else np.zeros(0, int)
+            spans = np.concatenate((np.append(starts, len(code)), np.full(n, len(code)))) if len(starts) else np.zeros(n + 1, int)
+            null = np.concatenate((np.zeros(len(starts), bool), np.ones(n, bool)))
+            term = terms.cast(pa.string()).take(pa.array(np.concatenate((code[starts], np.zeros(n, int))), mask=null))
+            lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32), mask=np.append(null, False)), pa.array(position.astype(np.int32)))
+            columns = [*(batch.column(k).take(pa.array(who)) for k in range(at)), term, pa.array(lengths[who].astype(np.int32)), pa.array(np.concatenate((tf, np.zeros(n, int))).astype(np.int32), mask=null), lists]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "term", "length", "tf", "positions"])
+
+    kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys)
+    return cut.select(*keys, "tokens").mapInArrow(run, f"{kinds}, term string, length int, tf int, positions array<int>")
 
 
 def postings(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(doc_id, term, length, tf, positions); positions count the tokens that the analyzer leaves, from 0, and length is how many those are, so that scoring needs no join."""
-    at = tokens(docs, analyzer).select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "term"))
-    grouped = stemmed(at, analyzer).groupBy("doc_id", "term", "length")
-    return grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """(doc_id, term, length, tf, positions), so that scoring needs no join."""
+    return entries(tokens(docs, analyzer), analyzer).where("term is not null")
 
 
 @dataclass(frozen=True)
@@ -50,10 +94,11 @@ class Index:
     postings: DataFrame
     doc_stats: DataFrame
     analyzer: Analyzer
+    entries: DataFrame | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, analyzer: Analyzer | None = None, order: str | None = None, check: bool = True) -> Index:
-        """Index rows (doc_id, text, further columns as metadata). A later row, by ``order``, replaces an earlier one of the same id.
+    def build(cls, docs: DataFrame, analyzer: Analyzer | None = None, order: str | None = None, check: bool = True, unique: bool = False) -> Index:
+        """Index rows (doc_id, text, further columns as metadata). Of an id's rows one counts, the last by ``order``, see latest(); ids that are known to be ``unique`` spare the shuffle.
 
         Ids become strings. With ``check`` an empty or missing id is an error when the index is read.
         """
@@ -63,15 +108,27 @@ class Index:
         key = F.col("doc_id").cast("string")
         if check:
             key = F.when(key.isNull() | (key == ""), F.raise_error(F.lit("a document needs an id"))).otherwise(key)
-        docs = latest(docs.withColumn("doc_id", key), order)
-        lengths = tokens(docs, analyzer).select("doc_id", F.size("tokens").alias("length"))
-        return cls(docs, postings(docs, analyzer), lengths, analyzer)
+        docs = docs.withColumn("doc_id", key)
+        docs = docs if unique else latest(docs, order)
+        rows = entries(tokens(docs, analyzer), analyzer)
+        return cls(docs, rows.where("term is not null"), rows.where("term is null").select("doc_id", "length"), analyzer, rows)
 
-    def save(self, path: str) -> None:
-        """Postings lie sorted by term in range partitions, so a query's terms read few row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    def save(self, path: str, leaf: str = "") -> None:
+        """Postings lie sorted by term and document in range partitions, so a query's terms read few row groups and a term of every document is spread over many.
+
+        Texts are analysed once: what comes of them is written as it is, and read again for the ranges and the lengths. Each table goes to its own folder below path, and there to ``leaf``, if given.
+        """
+        spark, at = self.docs.sparkSession, lambda table: f"{path}/{table}{leaf and '/' + leaf}"
+        self.docs.write.mode("overwrite").parquet(at("docs"))
+        rows, lengths = self.postings, self.doc_stats
+        if self.entries is not None:
+            self.entries.write.mode("overwrite").parquet(at("entries"))
+            raw = spark.read.parquet(at("entries"))
+            rows, lengths = raw.where("term is not null"), raw.where("term is null").select("doc_id", "length")
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))
+        lengths.write.mode("overwrite").parquet(at("doc_stats"))
+        if self.entries is not None:
+            remove(spark, at("entries"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> Index:
@@ -84,11 +141,16 @@ class Index:
         if missing := [i for i in ids if i not in known]:
             raise KeyError(f"no such document: {', '.join(missing)}")
         gone = F.col("doc_id").isin(ids)
-        return replace(self, **{t: getattr(self, t).where(~gone) for t in ("docs", "postings", "doc_stats")})
+        return replace(self, entries=None, **{t: getattr(self, t).where(~gone) for t in ("docs", "postings", "doc_stats")})
+
+    def without(self, ids: DataFrame) -> Index:
+        """The index without the documents of a table (doc_id) of any size; ids that it doesn't hold are passed over."""
+        ids = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        return replace(self, entries=None, **{t: getattr(self, t).join(ids, "doc_id", "left_anti") for t in ("docs", "postings", "doc_stats")})
 
-    def upsert(self, docs: DataFrame) -> Index:
-        """The index with these documents in place of those of the same id."""
-        new = Index.build(docs, self.analyzer)
+    def upsert(self, docs: DataFrame, order: str | None = None) -> Index:
+        """The index with these documents in place of those of the same id; of several rows of one id the last counts, by ``order``, see latest()."""
+        new = Index.build(docs, self.analyzer, order)
         ids = new.docs.select("doc_id")
         merge = lambda old, fresh: old.join(ids, "doc_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
         return Index(merge(self.docs, new.docs), merge(self.postings, new.postings), merge(self.doc_stats, new.doc_stats), self.analyzer)

@@ -52,8 +52,9 @@ class Engine:
     def build(cls, docs: DataFrame, analyzer: Analyzer | None = None, ranker: BM25 | TfIdf | Proximity | None = None, fuzzy: int = 0) -> Engine:
         return cls(Index.build(docs, analyzer), ranker or BM25(), fuzzy)
 
-    def add(self, docs: DataFrame) -> Engine:
-        return replace(self, index=self.index.upsert(docs))
+    def add(self, docs: DataFrame, order: str | None = None) -> Engine:
+        """The engine with these documents, in place of those of the same id; of several rows of one id the last counts, by ``order``."""
+        return replace(self, index=self.index.upsert(docs, order))
 
     def delete(self, doc_id: str) -> Engine:
         return replace(self, index=self.index.delete([doc_id]))
@@ -173,11 +174,11 @@ class Engine:
         return top(self.wildcard_hits(pattern), limit)
 
     def facet(self, text: str, name: str) -> DataFrame:
-        """(value, n) over all hits of a plain query, for a column of the documents; missing values don't count."""
+        """(value, n) over all hits of a plain query, for a column of the documents or an entry of their map ``meta``; missing values don't count."""
         docs = self.index.docs
-        if name not in docs.columns:
+        if (found := q.meta_column(docs, name)) is None:
             return docs.where(F.lit(False)).select(F.lit("").alias("value"), F.lit(0).cast("long").alias("n"))
-        values = self.hits(text).select("doc_id").join(docs.select("doc_id", F.col(name).cast("string").alias("value")), "doc_id")
+        values = self.hits(text).select("doc_id").join(docs.select("doc_id", found[0].cast("string").alias("value")), "doc_id")
         return values.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
 
     def snippets(self, text: str, limit: int | None = None, options: highlight.Options = highlight.Options()) -> DataFrame:

@@ -203,16 +203,27 @@ def positive_terms(node) -> list[str]:
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+def meta_column(docs: DataFrame, name: str) -> tuple[Column, str] | None:
+    """A document's metadata of a name, and its type: the column of that name or, where there is none, the entry of the map ``meta``. None if there is neither."""
+    kinds = dict(docs.dtypes)
+    if name in kinds:
+        return F.col(f"`{name}`"), kinds[name]
+    if (kind := kinds.get("meta", "")).startswith("map<string,"):
+        return F.try_element_at("meta", F.lit(name)), kind[len("map<string,") : -1]
+    return None
+
+
 def meta_predicate(docs: DataFrame, meta: Meta) -> Column:
-    """A filter on a column of docs; false where it is missing or null, also for !=. Numbers compare as numbers if both sides are."""
-    if meta.name not in docs.columns or meta.op == "==":
+    """A filter on a document's metadata, see meta_column(); false where it is missing or null, also for !=. Numbers compare as numbers if both sides are."""
+    found = meta_column(docs, meta.name)
+    if found is None or meta.op == "==":
         return F.lit(False)
-    raw, kind = F.col(meta.name), dict(docs.dtypes)[meta.name]
+    raw, kind = found
     numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
     if numeric:
         left = raw.cast("double")
     elif kind == "string":
-        left = F.when(raw.rlike(_NUMBER), F.expr(f"try_cast(trim(`{meta.name}`) AS double)"))
+        left = F.when(raw.rlike(_NUMBER), F.trim(raw).try_cast("double"))
     else:
         left = F.lit(None).cast("double")
     right = float(meta.value) if re.match(_NUMBER, meta.value) else None

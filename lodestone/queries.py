@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from lodestone.functions.distance import within
 from lodestone.functions.stemmers import porter, russian, stem_column
 from lodestone.operators import evaluation
 from lodestone.operators.fielded import FieldedEngine
-from lodestone.operators.index import Index, latest, tokens
+from lodestone.operators.index import Index, tokens
 from lodestone.operators.ranking import BM25, Proximity, TfIdf, least_windows
 from lodestone.operators.search import Engine, fuzzy_documents, top
-from lodestone.operators.semantic import Predictor, parse_words, vector_search
+from lodestone.operators.semantic import Predictor, SemanticEngine, parse_words, predicted_search, vector_search
 from lodestone.plans.query import Meta, meta_predicate
 from lodestone.sources import files
+from lodestone.sources.segments import SegmentedStore
 from lodestone.sources.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,11 +50,21 @@ def engine(spark: SparkSession, sf_dir: str, analyzer: str = "default", ranker=N
     key, own = (spark.sparkContext.applicationId, sf_dir, analyzer), ANALYZERS[analyzer]()
     if key not in _SAVED:
         path = new_path(spark, f"index-{analyzer}")
-        Index.build(documents(spark, sf_dir), own).save(path)
+        Index.build(documents(spark, sf_dir), own, unique=True).save(path)
         _SAVED[key] = path
     return Engine(Index.load(spark, _SAVED[key], own), ranker or BM25())
 
 
+def predictor(spark: SparkSession, sf_dir: str) -> Predictor:
+    """Word statistics of all documents, written once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir, "predictor")
+    if key not in _SAVED:
+        path = new_path(spark, "predictor")
+        Predictor.build(documents(spark, sf_dir)).save(path)
+        _SAVED[key] = path
+    return Predictor.load(spark, _SAVED[key])
+
+
 def scores(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Scores to 6 digits, ordered by what is shown."""
     return top(df.select("doc_id", F.round("score", 6).alias("score")), limit)
@@ -179,16 +191,46 @@ def compression_stats(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_latest(spark, sf_dir):
     """Of each user's events the last one stays, as a later document of an id replaces an earlier one."""
-    rows = read(spark, sf_dir, "events").withColumnRenamed("user_id", "doc_id")
-    return latest(rows, "event_id").select(F.col("doc_id").alias("user_id"), "event_id", "event_type")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_type").alias("text"))
+    kept = Index.build(rows, order="event_id").docs
+    return kept.select(F.col("doc_id").cast("long").alias("user_id"), "event_id", F.col("text").alias("event_type"))
 
 
 @query(f"WITH {BASE} SELECT term, count(*) AS df FROM post WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) GROUP BY term")
 def tombstones(spark, sf_dir):
     """Document frequencies after the labelled toxic documents are deleted."""
-    gone = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
-    live = engine(spark, sf_dir).index.postings.join(gone, "doc_id", "left_anti")
-    return live.groupBy("term").agg(F.count("*").alias("df"))
+    gone = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return engine(spark, sf_dir).index.without(gone).term_stats().select("term", "df")
+
+
+@query(f"WITH {BASE} SELECT count(*) AS n_docs, (SELECT count(DISTINCT term) FROM post WHERE doc_id NOT IN ('3', '5')) AS n_terms, round(avg(length), 6) AS avg_length FROM dl WHERE doc_id NOT IN ('3', '5')")
+def deleted(spark, sf_dir):
+    """Statistics after two documents are deleted."""
+    return engine(spark, sf_dir).index.delete(["3", "5"]).stats().withColumn("avg_length", F.round("avg_length", 6))
+
+
+_REPLACED = _base(f"""(SELECT * FROM ({_analysed("documents", "doc_id", "text")}) WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 = 0) AND doc_id <> '3'
+    UNION ALL {_analysed("(SELECT doc_id, 'Replaced, now: ' || lang AS t FROM documents WHERE doc_id % 7 = 0)", "doc_id", "t")})""")
+
+
+@query(f"WITH {_REPLACED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM post GROUP BY term")
+def segments(spark, sf_dir):
+    """Term statistics of a segmented store after documents were replaced in a second segment and one was removed."""
+    docs, store = documents(spark, sf_dir).select("doc_id", "text", "lang"), SegmentedStore(spark, new_path(spark, "store"))
+    store.add(docs)
+    store.flush()
+    store.add(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("Replaced, now: "), "lang")))
+    store.flush()
+    store.remove("3")
+    store.flush()
+    return store.index().term_stats()
+
+
+@query(f"WITH {_REPLACED} SELECT doc_id, round(score, 6) AS score FROM ({_scored({'replaced': 1, 'en': 1})})")
+def upserted_search(spark, sf_dir):
+    """A search after documents of the same ids were added anew, one was deleted."""
+    new = documents(spark, sf_dir).where("doc_id % 7 = 0").select("doc_id", F.concat(F.lit("Replaced, now: "), "lang").alias("text"), "lang")
+    return scores(engine(spark, sf_dir).add(new).delete("3").hits("replaced en"))
 
 
 # 2.2: analysis
@@ -230,32 +272,61 @@ def bilingual_search(spark, sf_dir):
     return scores(engine(spark, sf_dir, "bilingual").hits("things память ending"))
 
 
-@query()
+def _code(v: str) -> str:
+    """Hexadecimal digits of a number's variable-byte code."""
+    low = [f"({v} // {1 << 7 * i}) % 128" for i in range(5)]
+    sizes = ((n, "'" + "%02X" * n + "', " + ", ".join(low[: n - 1] + [f"{low[n - 1]} + 128"])) for n in range(1, 6))
+    return "CASE " + " ".join(f"WHEN {v} < {1 << 7 * n} THEN printf({form})" for n, form in sizes) + " END"
+
+
+@query(f"""WITH {BASE}, gaps AS (SELECT doc_id, term, pos, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS gap FROM occ),
+    coded AS (SELECT doc_id, term, string_agg({_code('gap')}, '' ORDER BY pos) AS code FROM gaps GROUP BY doc_id, term)
+    SELECT doc_id, term, {_code('tf')} || code AS code, CAST(length({_code('tf')} || code) // 2 AS INTEGER) AS bytes FROM coded JOIN post USING (doc_id, term)""")
 def position_codes(spark, sf_dir):
     """Positions of every posting as gap-coded bytes, and the bytes' number."""
     rows = engine(spark, sf_dir).index.postings.select("doc_id", "term", varbyte.encode_gaps_column("positions").alias("code"), varbyte.encoded_bytes(F.col("positions")).alias("bytes"))
     return rows.select("doc_id", "term", F.hex("code").alias("code"), "bytes")
 
 
-@query(f"WITH {BASE} SELECT term FROM dfs WHERE len(term) BETWEEN 3 AND 5 AND damerau_levenshtein(term, 'then') <= 1 AND regexp_full_match(term, '[a-z]+')")
+def _osa(a: str, b: str) -> str:
+    """Edit distance of two lists of characters with neighbours swapped as one edit, row by row of the table of distances."""
+    row = (
+        f"list_reduce(list_prepend([s.c[1] + 1], list_transform(range(1, len({b}) + 1), lambda j: [j])), lambda acc, j: list_append(acc, least(acc[-1] + 1, s.c[j[1] + 1] + 1, "
+        f"s.c[j[1]] + (e.x <> {b}[j[1]])::BIGINT, CASE WHEN j[1] > 1 AND len(s.p) > 0 AND e.x = {b}[j[1] - 1] AND s.x = {b}[j[1]] THEN s.p[j[1] - 1] + 1 ELSE 99 END)))"
+    )
+    first = f"{{'p': []::BIGINT[], 'c': range(0, len({b}) + 1), 'x': ''}}"
+    return f"list_reduce(list_prepend({first}, list_transform({a}, lambda c: {{'p': []::BIGINT[], 'c': []::BIGINT[], 'x': c}})), lambda s, e: {{'p': s.c, 'c': {row}, 'x': e.x}}).c[-1]"
+
+
+def _near(terms: str, asked: list[str], most: int) -> str:
+    """(word, term, d) of the terms within ``most`` edits of the asked words."""
+    values = ", ".join(f"('{w}')" for w in asked)
+    close = f"SELECT word, term, string_split(word, '') AS a, string_split(term, '') AS b FROM {terms}, (VALUES {values}) AS asked(word) WHERE abs(length(term) - length(word)) <= {most}"
+    return f"(SELECT * FROM (SELECT word, term, {_osa('a', 'b')} AS d FROM ({close})) WHERE d <= {most})"
+
+
+@query(f"WITH {BASE} SELECT term FROM {_near('dfs', ['then'], 1)}")
 def fuzzy_terms(spark, sf_dir):
-    """Plain terms within one edit of a word."""
-    terms = engine(spark, sf_dir).index.terms().where(F.col("term").rlike("^[a-z]+$"))
-    return terms.where(within(F.col("term"), F.lit("then"), 1))
+    """Terms within one edit of a word."""
+    return engine(spark, sf_dir).index.terms().where(within(F.col("term"), F.lit("then"), 1))
 
 
-@query()
+@query(f"WITH {BASE} SELECT term FROM {_near('dfs', ['thendng'], 2)}")
 def fuzzy_terms_2(spark, sf_dir):
     return engine(spark, sf_dir).index.terms().where(within(F.col("term"), F.lit("thendng"), 2))
 
 
-@query()
+@query(f"WITH {BASE}, asked AS (SELECT term, 1 AS qtf FROM {_near('dfs', ['thme', 'anda'], 1)} GROUP BY term) SELECT doc_id, round(sum({_TERM}), 6) AS score FROM post JOIN asked USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), corpus GROUP BY doc_id")
 def fuzzy_search(spark, sf_dir):
     base = engine(spark, sf_dir)
     return scores(Engine(base.index, base.ranker, fuzzy=1).hits("thme anda"))
 
 
-@query()
+@query(f"""WITH {_base(_analysed("benchmark", "item_id", "text"))}, names AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
+    pairs AS (SELECT token, term, string_split(token, '') AS a, string_split(term, '') AS b FROM (SELECT DISTINCT term AS token FROM occ), names WHERE abs(length(token) - length(term)) <= 2),
+    near AS (SELECT token, term FROM pairs WHERE {_osa('a', 'b')} <= 2),
+    grown AS (SELECT doc_id, coalesce(near.term, occ.term) AS term, min(pos) AS pos FROM occ LEFT JOIN near ON near.token = occ.term GROUP BY doc_id, coalesce(near.term, occ.term))
+    SELECT cut.doc_id, coalesce(string_agg(term, ' ' ORDER BY pos, term), '') AS text FROM cut LEFT JOIN grown USING (doc_id) GROUP BY cut.doc_id""")
 def fuzzy_index(spark, sf_dir):
     """Benchmark items as a fuzzy analyzer would index them, against the vocabulary of part names."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
@@ -352,6 +423,23 @@ for _name, (_language, _positive, _where) in _BOOLEANS.items():
     _register_boolean(_name, _language, _boolean(_positive, _where))
 
 
+def _mapped(spark, sf_dir) -> Engine:
+    """The engine with its documents' metadata in one map of strings, as front matter gives it."""
+    base = engine(spark, sf_dir)
+    meta = F.create_map(*[x for c in ("lang", "source", "n_chars") for x in (F.lit(c), F.col(c).cast("string"))])
+    return replace(base, index=replace(base.index, docs=base.index.docs.select("doc_id", "text", meta.alias("meta"))))
+
+
+@query(_boolean(["the"], f"{_h('the')} AND n_chars >= 2000 AND lang <> 'fr'"))
+def meta_map_filter(spark, sf_dir):
+    return scores(_mapped(spark, sf_dir).boolean_hits("the AND n_chars>=2000 AND lang!=fr"))
+
+
+@query(f"WITH {BASE} SELECT source AS value, count(*) AS n FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT doc_id FROM post WHERE term IN ('de', 'thing')) AND source IS NOT NULL GROUP BY source")
+def facet_map(spark, sf_dir):
+    return _mapped(spark, sf_dir).facet("de thing", "source")
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 1000 AND c_mktsegment <> 'BUILDING'")
 def meta_filter_table(spark, sf_dir):
     """Filters on columns of a table that isn't text."""
@@ -400,8 +488,12 @@ def _fielded(name: str, boost: float) -> str:
 
 @query(f"SELECT doc_id, round(sum(score), 6) AS score FROM ({_fielded('role', 3.0)} UNION ALL {_fielded('text', 1.0)}) GROUP BY doc_id")
 def fielded(spark, sf_dir):
-    docs = read(spark, sf_dir, "conversations").withColumn("doc_id", F.concat_ws("-", "conv_id", "turn"))
-    return scores(FieldedEngine.build(docs, {"role": 3.0, "text": 1.0}).search("the user"))
+    boosts, key = {"role": 3.0, "text": 1.0}, (spark.sparkContext.applicationId, sf_dir, "fielded")
+    if key not in _SAVED:
+        path = new_path(spark, "fielded")
+        FieldedEngine.build(read(spark, sf_dir, "conversations").withColumn("doc_id", F.concat_ws("-", "conv_id", "turn")), boosts).save(path)
+        _SAVED[key] = path
+    return scores(FieldedEngine.load(spark, _SAVED[key], boosts).search("the user"))
 
 
 @query(f"WITH {BASE} SELECT lang AS value, count(*) AS n FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT doc_id FROM post WHERE term IN ('de', 'thing')) GROUP BY lang")
@@ -411,7 +503,9 @@ def facet(spark, sf_dir):
 
 @query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def facet_all(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("event_type is not null").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
+    """A facet over a word that all documents have."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.lit("event").alias("text"), "event_type")
+    return Engine(Index.build(rows, unique=True)).facet("event", "event_type")
 
 
 @query(f"WITH {BASE} SELECT CAST(coalesce(sum(tf * qtf), 0) AS BIGINT) AS occurrences FROM post JOIN {_asked({'the': 2, 'thing': 1})} USING (term)")
@@ -427,20 +521,32 @@ def snippet(spark, sf_dir):
     return engine(spark, sf_dir).snippets("thing ending").select("doc_id", "snippet")
 
 
-@query()
+@query(f"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, list_filter(string_split_regex(text, '{SPACE}'), lambda t: t <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM f),
+    h AS (SELECT *, regexp_replace(lower(word), '{ENDS}', '', 'g') IN ('thing', 'ending') AS hit FROM w),
+    around AS (SELECT doc_id, n, i, greatest(i - 6, 1) AS s, least(i + 6, n) AS e FROM h WHERE hit),
+    fresh AS (SELECT *, (coalesce(s > lag(e) OVER (PARTITION BY doc_id ORDER BY i) + 1, TRUE))::INT AS first FROM around),
+    grouped AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS win FROM fresh),
+    windows AS (SELECT doc_id, n, win, min(s) AS s, max(e) AS e, max(win) OVER (PARTITION BY doc_id) AS total FROM grouped GROUP BY doc_id, n, win),
+    shown AS (SELECT * FROM windows WHERE win <= 12),
+    pieces AS (
+        SELECT doc_id, win, 0 AS i, '...' AS word, FALSE AS hit FROM shown WHERE win > 1 OR s > 1
+        UNION ALL SELECT h.doc_id, win, i, word, hit FROM shown JOIN h ON h.doc_id = shown.doc_id AND i BETWEEN s AND e
+        UNION ALL SELECT doc_id, 99, 0, '...', FALSE FROM shown GROUP BY doc_id HAVING max(total) > 12 OR max(e) < max(n)),
+    numbered AS (SELECT *, row_number() OVER o AS k, coalesce(sum(hit::INT) OVER (PARTITION BY doc_id ORDER BY win, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM pieces WINDOW o AS (PARTITION BY doc_id ORDER BY win, i)),
+    plain AS (SELECT doc_id, string_agg(CASE WHEN k > 1 THEN ' ' ELSE '' END || CASE WHEN hit THEN '' ELSE word END, '' ORDER BY k) AS text FROM numbered GROUP BY doc_id, part)
+    SELECT doc_id, text, FALSE AS match FROM plain WHERE text <> '' UNION ALL SELECT doc_id, word, TRUE FROM numbered WHERE hit""")
 def highlight_spans(spark, sf_dir):
     rows = engine(spark, sf_dir).highlights("thing ending")
     return rows.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.text", "span.match")
 
 
 @query(f"""WITH {BASE}, own AS (SELECT b, count(*) AS m FROM (SELECT unnest(['th', 'hi', 'in', 'ng', 'gg']) AS b) GROUP BY b),
-    grams AS (SELECT term, unnest(CASE WHEN length(term) = 1 THEN [term] ELSE list_transform(range(1, length(term)), lambda i: substring(term, i, 2)) END) AS b FROM dfs WHERE regexp_full_match(term, '[a-z]+')),
+    grams AS (SELECT term, unnest(CASE WHEN length(term) = 1 THEN [term] ELSE list_transform(range(1, length(term)), lambda i: substring(term, i, 2)) END) AS b FROM dfs),
     shared AS (SELECT term, sum(m) AS c FROM grams JOIN own USING (b) GROUP BY term HAVING sum(m) / 5.0 >= 0.3)
-    SELECT 'thingg' AS word, (SELECT term FROM shared JOIN dfs USING (term) WHERE damerau_levenshtein(term, 'thingg') <= 1 ORDER BY damerau_levenshtein(term, 'thingg'), df DESC, term LIMIT 1) AS suggestion""")
+    SELECT 'thingg' AS word, (SELECT term FROM {_near('shared', ['thingg'], 1)} JOIN dfs USING (term) ORDER BY d, df DESC, term LIMIT 1) AS suggestion""")
 def suggestion(spark, sf_dir):
-    from lodestone.operators.suggest import suggest
-
-    return suggest(engine(spark, sf_dir).index.term_stats().where(F.col("term").rlike("^[a-z]+$")), "thingg", most=1)
+    return engine(spark, sf_dir).suggestion("thingg", most=1)
 
 
 # sources
@@ -470,16 +576,38 @@ def example_words(spark, sf_dir):
 _FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::UBIGINT)), lambda h, b: (xor(h, b) * 16777619::UBIGINT) % 4294967296::UBIGINT)"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+')) AS word FROM documents),
+def _cells(asked: dict[str, str]) -> str:
+    """CTEs with the vectors of all documents and, under their own ids, of asked texts: vectors (doc_id, cell, value)."""
+    more = "".join(f" UNION ALL SELECT '{i}', '{t}'" for i, t in asked.items())
+    return rf"""texts AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents{more}),
+    w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+')) AS word FROM texts),
     c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL), d AS (SELECT word, {_FNV} AS h FROM (SELECT DISTINCT word FROM c)),
-    cells AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS cell, sum(CASE WHEN h >= 2147483648 THEN -n ELSE n END) AS v FROM c JOIN d USING (word) GROUP BY ALL)
-    SELECT CAST(doc_id AS VARCHAR) AS doc_id, cell, round((v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM cells WHERE v <> 0""")
+    cells AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS cell, sum(CASE WHEN h >= 2147483648 THEN -n ELSE n END) AS v FROM c JOIN d USING (word) GROUP BY ALL),
+    vectors AS (SELECT doc_id, cell, (v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS value FROM cells WHERE v <> 0)"""
+
+
+@query(f"WITH {_cells({})} SELECT doc_id, cell, round(value, 5) AS value FROM vectors")
 def hash_embedding(spark, sf_dir):
     vectors = embedding.embed(documents(spark, sf_dir))
     cells = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode("vector").alias("cell", "value"))
     return cells.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+def _similarities(asked: dict[str, str]) -> str:
+    """(query_id, doc_id, score) of every document with every asked text, by dot product to 4 digits."""
+    return f"""SELECT q.query_id, t.doc_id, round(coalesce(s.score, 0), 4) + 0 AS score FROM (SELECT * FROM texts WHERE doc_id NOT IN ({', '.join(f"'{i}'" for i in asked)})) t
+        CROSS JOIN (VALUES {', '.join(f"('{i}')" for i in asked)}) AS q(query_id)
+        LEFT JOIN (SELECT b.doc_id AS query_id, a.doc_id, sum(a.value * b.value) AS score FROM vectors a JOIN vectors b USING (cell) WHERE b.doc_id IN ({', '.join(f"'{i}'" for i in asked)}) GROUP BY ALL) s ON s.query_id = q.query_id AND s.doc_id = t.doc_id"""
+
+
+@query(f"WITH {_cells({'q:1': 'the thing of ending'})}, found AS ({_similarities({'q:1': 'the thing of ending'})}) SELECT doc_id, score FROM found")
+def semantic_search(spark, sf_dir):
+    """All documents by the likeness of their vectors to a query's, after one was replaced by itself."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = SemanticEngine.build(docs).delete("3").add(docs.where("doc_id = 3")).search("the thing of ending")
+    return found.select("doc_id", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3)
     SELECT CAST(vec_id AS VARCHAR) AS doc_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * e[i]::DOUBLE)), 6) AS score FROM embeddings, q ORDER BY score DESC, doc_id LIMIT 10""")
 def vector_topk(spark, sf_dir):
@@ -493,16 +621,23 @@ _STEMS = r"words AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p
 
 @query(f"WITH {_STEMS} SELECT b.word, count(*) AS n FROM sets a JOIN sets b USING (doc_id) WHERE a.word = 'thing' AND b.word <> 'thing' GROUP BY b.word")
 def cooccurrence(spark, sf_dir):
-    sets = Predictor.build(documents(spark, sf_dir)).stems.select("doc_id", "stem").distinct()
-    with_word = sets.where("stem = 'thing'").select("doc_id")
-    return sets.where("stem <> 'thing'").join(with_word, "doc_id", "left_semi").groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("n"))
+    return predictor(spark, sf_dir).together(["thing"]).select(F.col("stem").alias("word"), "n")
+
+
+_PREDICTED = f"""{_STEMS}, described(q) AS (VALUES ('thing'), ('ending')), pairs AS (SELECT q, b.word, count(*) AS n FROM sets a JOIN described ON a.word = q JOIN sets b USING (doc_id) WHERE b.word <> q GROUP BY ALL),
+    parts AS (SELECT q AS word, 1.0::DOUBLE AS s FROM described JOIN voc ON voc.word = q UNION ALL SELECT word, n::DOUBLE / (1 + df) FROM pairs JOIN voc USING (word))"""
 
 
-@query(f"""WITH {_STEMS}, asked(q) AS (VALUES ('thing'), ('ending')), pairs AS (SELECT q, b.word, count(*) AS n FROM sets a JOIN asked ON a.word = q JOIN sets b USING (doc_id) WHERE b.word <> q GROUP BY ALL),
-    parts AS (SELECT q AS word, 1.0::DOUBLE AS s FROM asked JOIN voc ON voc.word = q UNION ALL SELECT word, n::DOUBLE / (1 + df) FROM pairs JOIN voc USING (word))
-    SELECT word, round(sum(s), 6) AS score FROM parts GROUP BY word ORDER BY round(sum(s), 9) DESC, word LIMIT 8""")
+@query(f"WITH {_PREDICTED} SELECT word, round(sum(s), 6) AS score FROM parts GROUP BY word ORDER BY round(sum(s), 9) DESC, word LIMIT 8")
 def predict(spark, sf_dir):
-    return Predictor.build(documents(spark, sf_dir)).predict("thing ending thing", 8).withColumn("score", F.round("score", 6))
+    return predictor(spark, sf_dir).predict("thing ending thing", 8).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BASE}, {_PREDICTED}, asked AS (SELECT word AS term, 1 AS qtf FROM (SELECT word FROM parts GROUP BY word ORDER BY round(sum(s), 9) DESC, word LIMIT 6)) SELECT doc_id, round(sum({_TERM}), 6) AS score FROM post JOIN asked USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), corpus GROUP BY doc_id")
+def predicted(spark, sf_dir):
+    """A search for the words that are predicted for a description."""
+    found = predicted_search(engine(spark, sf_dir), predictor(spark, sf_dir), "thing ending thing")
+    return scores(found)
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_filter(list_distinct_in_order, lambda w: w <> ''), ' ') AS words FROM (
@@ -533,7 +668,11 @@ def _judgments(spark, sf_dir) -> DataFrame:
 
 def _runs_sql(expression: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{n}' AS query_id, doc_id, round(score, 6) AS score FROM ({_scored({w: 1}, expression)})" for n, w in _QUERIES.items())
-    return f"""{BASE}, run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({parts})),
+    return f"{BASE}, {_judged(parts)}"
+
+
+def _judged(parts: str) -> str:
+    return f"""run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({parts})),
     rel AS (SELECT d.lang AS query_id, CAST(l.doc_id AS VARCHAR) AS doc_id FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1),
     judged AS (SELECT d.lang AS query_id, count(DISTINCT CASE WHEN quality = 1 THEN l.doc_id END) AS total FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang),
     listed AS (SELECT run.query_id, rank, (rel.doc_id IS NOT NULL)::INT AS hit, sum((rel.doc_id IS NOT NULL)::INT) OVER (PARTITION BY run.query_id ORDER BY rank) AS hits, count(*) OVER (PARTITION BY run.query_id) AS n FROM run LEFT JOIN rel USING (query_id, doc_id)),
@@ -553,7 +692,23 @@ def mean_average_precision(spark, sf_dir):
     return evaluation.mean_average_precision(_runs(spark, sf_dir, BM25()), _judgments(spark, sf_dir)).select(F.round("map", 6).alias("map"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS engine, query_id, round(ap, 6) AS average_precision, round(avg(ap) OVER (), 6) AS map FROM (WITH {_runs_sql(x)} SELECT * FROM done)" for n, x in (("bm25", _TERM), ("tfidf", _TFIDF))))
+def _vector_runs(spark, sf_dir) -> DataFrame:
+    engine, out = SemanticEngine.build(documents(spark, sf_dir).select("doc_id", "text")), None
+    for name, word in _QUERIES.items():
+        one = engine.search(word).select(F.lit(name).alias("query_id"), "doc_id", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+
+
+def _compared(name: str, ctes: str) -> str:
+    return f"SELECT '{name}' AS engine, query_id, round(ap, 6) AS average_precision, round(avg(ap) OVER (), 6) AS map FROM (WITH {ctes} SELECT * FROM done)"
+
+
+_VECTORS = f"{_cells(_QUERIES)}, found AS ({_similarities(_QUERIES)}), " + _judged("SELECT * FROM found")
+
+
+@query(" UNION ALL ".join(_compared(n, x) for n, x in (("bm25", _runs_sql(_TERM)), ("tfidf", _runs_sql(_TFIDF)), ("vectors", _VECTORS))))
 def compare_engines(spark, sf_dir):
-    out = evaluation.compare({"bm25": _runs(spark, sf_dir, BM25()), "tfidf": _runs(spark, sf_dir, TfIdf())}, _judgments(spark, sf_dir), 10)
+    runs = {"bm25": _runs(spark, sf_dir, BM25()), "tfidf": _runs(spark, sf_dir, TfIdf()), "vectors": _vector_runs(spark, sf_dir)}
+    out = evaluation.compare(runs, _judgments(spark, sf_dir), 10)
     return out.select("engine", "query_id", F.round("average_precision", 6).alias("average_precision"), F.round("map", 6).alias("map"))

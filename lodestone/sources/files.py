@@ -6,8 +6,10 @@ import html
 import io
 import re
 import zipfile
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ def py_docx_text(data: bytes) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             body = archive.read("word/document.xml").decode("utf-8", "replace")
-    except zipfile.BadZipFile as e:
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
         raise ValueError("not a docx file") from e
     except KeyError as e:
         raise ValueError("a docx file without word/document.xml") from e
@@ -49,7 +51,15 @@ def py_docx_text(data: bytes) -> str:
 
 @F.pandas_udf(T.StringType())
 def docx_text(files: pd.Series) -> pd.Series:
-    return files.map(lambda data: None if data is None else py_docx_text(data))
+    """py_docx_text() of each file; null for one that can't be read."""
+
+    def one(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else py_docx_text(data)
+        except ValueError:
+            return None
+
+    return files.map(one)
 
 
 def extract(extension: Column, content: Column) -> Column:
@@ -59,32 +69,64 @@ def extract(extension: Column, content: Column) -> Column:
     return F.when(ext == "docx", docx).when(ext.isin("html", "htm"), html_text(text)).when(ext == "rtf", rtf_text(text)).otherwise(text)
 
 
-def load(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(doc_id, text, source, format): a document a file, its id the name without extension, its text trimmed. Files are read by tasks."""
+def load(spark: SparkSession, path: str, pattern: str = "*", every: bool = True) -> DataFrame:
+    """(doc_id, text, source, format, error): a document a file, its id the name without extension, its text trimmed. Files are read by tasks.
+
+    A file that can't be read has a null text and says so in ``error``, and the others are loaded. Without ``every`` only files with one of EXTENSIONS are.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    files = files if every else files.where(F.lower(ext).isin(*EXTENSIONS))
     text = F.regexp_replace(extract(ext, F.col("content")), r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
-    return files.select(F.when(stem == "", name).otherwise(stem).alias("doc_id"), text.alias("text"), F.col("path").alias("source"), F.lower(ext).alias("format"))
+    rows = files.select(F.when(stem == "", name).otherwise(stem).alias("doc_id"), text.alias("text"), F.col("path").alias("source"), F.lower(ext).alias("format"))
+    return rows.withColumn("error", F.when(F.col("text").isNull(), F.concat(F.lit("not a readable "), "format", F.lit(" file"))))
+
+
+def sample_corpus(spark: SparkSession) -> DataFrame:
+    """(doc_id, text, meta) of a few documents of our own that come with the library, for trying things out."""
+    rows = [(name, f"---\nyear: {year}\ntopic: {topic}\n---\n{text}") for name, year, topic, text in SAMPLE]
+    return front_matter(spark.createDataFrame(rows, "doc_id string, text string"))
+
+
+SAMPLE = [
+    ("harbour", 1987, "places", "The harbour lies behind two stone piers. Fishing boats leave before dawn and come back with herring at noon."),
+    ("mill", 1902, "places", "An old water mill stands by the river. Its wheel turned two stones that ground rye for the whole valley."),
+    ("bread", 2011, "food", "Rye bread needs a sour dough, a hot stone oven and patience. The dough rests for a day before it is baked."),
+    ("herring", 1999, "food", "Herring is salted in barrels on the pier or smoked over beech wood. Smoked herring keeps for weeks."),
+    ("lighthouse", 1954, "places", "The lighthouse keeper lit the lamp every evening. Ships found the harbour by its white light."),
+    ("река", 2005, "places", "Река течёт мимо старой мельницы. Рыбаки ловят рыбу с лодок на рассвете."),
+    ("хлеб", 2016, "food", "Хлеб пекут из ржаной муки. Тесто стоит сутки, а печь топят берёзовыми дровами."),
+]
+
+
+_HEAD = re.compile(r"---\n(.*?)\n---", re.S)
+
+
+def py_front_matter(text: str) -> tuple[str, dict[str, str]]:
+    """A text without its head of ``key: value`` lines between --- lines, and what these say; of a repeated key the last counts."""
+    text = text.replace("\r\n", "\n")
+    head = _HEAD.match(text)
+    if head is None:
+        return text, {}
+    pairs = (line.partition(":") for line in head[1].split("\n") if ":" in line)
+    return text[head.end() :].lstrip("\n"), {key.strip(" "): value.strip(" ") for key, _, value in pairs}
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    parts = [("", {}) if t is None else py_front_matter(t) for t in texts.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in parts], pa.string()), pa.array([list(m.items()) for _, m in parts], pa.map_(pa.string(), pa.string()))], ["text", "meta"])
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
-    """Split Markdown with a head of ``key: value`` lines between --- lines: text without it, and the map ``meta``. A text without a closed head stays, with an empty map."""
-    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    head = r"(?s)^---\n(.*?)\n---"
-    has = text.rlike(head)
-    lines = F.filter(F.split(F.regexp_extract(text, head, 1), "\n"), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
-    last = F.filter(pairs, lambda p: F.lit(True))
-    keys = F.array_distinct(F.transform(last, lambda p: p["key"]))
-    meta = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
-    body = F.regexp_replace(F.regexp_replace(text, head, ""), r"^\n+", "")
-    return docs.withColumns({"text": F.when(has, body).otherwise(text), "meta": F.when(has, meta).otherwise(F.create_map().cast("map<string,string>"))})
+    """Split Markdown with a head, see py_front_matter(): text without it, and the map ``meta``. A text without a closed head stays, with an empty map, and so does a null one."""
+    split = docs.withColumn("__split", F.arrow_udf(_split, "struct<text:string,meta:map<string,string>>")("text"))
+    return split.withColumns({"text": F.when(F.col("text").isNotNull(), F.col("__split")["text"]), "meta": F.col("__split")["meta"]}).drop("__split")
 
 
 #: Words that example queries leave out.
-EXAMPLE_STOP_WORDS = ("which", "there", "their", "that", "with", "this", "into", "from", "have", "used") + tuple(sorted("благодаря вместе включая который которая которые назначения общего обеспечивающий поддерживает поддержку своей".split()))
+EXAMPLE_STOP_WORDS = tuple("from have into that their there this used which with благодаря вместе включая которая которые который назначения обеспечивающий общего поддерживает поддержку своей".split())
 NO_EXAMPLE = "type a query..."
 
 

@@ -12,17 +12,20 @@ from lodestone.functions.text import Analyzer, default_analyzer
 from lodestone.operators.index import Index
 
 TABLES = ("docs", "postings", "doc_stats")
+#: Segments after which flush() compacts.
+COMPACT_AFTER = 100
 
 
 class SegmentedStore:
     """Segments below one folder (a path or URI that Hadoop can open).
 
-    The manifest names the live segments and the tombstones; it is written beside and renamed, so a reader sees one version or the next, and what a
-    failed writer leaves is never read. Replacing a document commits its tombstone together with the segment that has it anew. One writer at a time.
+    Each table is one Parquet table whose partitions ``segment=<number>_<name>`` are the segments, so the live index is one scan a table however many there are; deletions are a table of the same shape, and cover
+    documents in segments of lesser numbers. The manifest names the live segments and deletions; it is written beside and renamed, so a reader sees one version or the next, and what a
+    failed writer leaves is never read. Replacing a document commits its deletion together with the segment that has it anew. One writer at a time. After ``compact_after`` segments a flush compacts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer | None = None):
-        self.spark, self.path, self.analyzer = spark, path.rstrip("/"), analyzer or default_analyzer()
+    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer | None = None, compact_after: int = COMPACT_AFTER):
+        self.spark, self.path, self.analyzer, self.compact_after = spark, path.rstrip("/"), analyzer or default_analyzer(), compact_after
         self.buffer: DataFrame | None = None
         self.gone: DataFrame | None = None
         self.manifest = self._read_manifest()
@@ -48,7 +51,7 @@ class SegmentedStore:
         finally:
             stream.close()
 
-    def _commit(self, segments: list[str], tombstones: list[dict]) -> None:
+    def _commit(self, segments: list[str], tombstones: list[str]) -> None:
         new = {"version": self.manifest["version"] + 1, "segments": segments, "tombstones": tombstones}
         fs, path = self._fs()
         beside = path(f"{self.path}/manifests/{uuid.uuid4().hex}.tmp")
@@ -59,26 +62,20 @@ class SegmentedStore:
             raise OSError("another writer committed first")
         self.manifest = new
 
-    def _table(self, table: str, segments: list[str]) -> DataFrame | None:
-        out = None
-        for name in segments:
-            one = self.spark.read.parquet(f"{self.path}/segments/{name}/{table}").withColumn("__segment", F.lit(name))
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-        return out
+    def _table(self, table: str, segments: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{table}/segment={name}" for name in segments]
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").option("mergeSchema", table == "docs").parquet(*paths)
+        return rows.withColumn("__number", F.substring_index("segment", "_", 1).cast("int")).drop("segment")
 
     def _live(self, table: str) -> DataFrame | None:
-        """Rows of the segments but for those that a later tombstone covers: (segment, id) pairs, anti-joined."""
-        rows = self._table(table, self.manifest["segments"])
-        if rows is None:
+        """Rows of the segments but for those that a later deletion covers."""
+        if not self.manifest["segments"]:
             return None
+        rows = self._table(table, self.manifest["segments"])
         if self.manifest["tombstones"]:
-            dead = None
-            for entry in self.manifest["tombstones"]:
-                ids = self.spark.read.parquet(f"{self.path}/tombstones/{entry['name']}").select("doc_id")
-                covered = ids.crossJoin(self.spark.createDataFrame([(s,) for s in entry["segments"]], "__segment string"))
-                dead = covered if dead is None else dead.unionByName(covered)
-            rows = rows.join(dead, ["doc_id", "__segment"], "left_anti")
-        return rows.drop("__segment")
+            dead = self._table("tombstones", self.manifest["tombstones"]).groupBy("doc_id").agg(F.max("__number").alias("__until"))
+            rows = rows.join(dead, (rows["doc_id"] == dead["doc_id"]) & (rows["__number"] < dead["__until"]), "left_anti")
+        return rows.drop("__number")
 
     def index(self) -> Index | None:
         """The live index, or None if nothing was ever flushed. What is only buffered isn't in it."""
@@ -110,33 +107,39 @@ class SegmentedStore:
         buffered = self.buffer is not None and not self.buffer.isEmpty()
         if not buffered and self.gone is None:
             return
-        old, name = self.manifest["segments"], uuid.uuid4().hex
+        old, name = self.manifest["segments"], self._name()
         dead = self.gone
         if buffered:
-            Index.build(self.buffer, self.analyzer).save(f"{self.path}/segments/{name}")
-            written = self.spark.read.parquet(f"{self.path}/segments/{name}/docs").select("doc_id")
+            Index.build(self.buffer, self.analyzer).save(self.path, f"segment={name}")
+            written = self.spark.read.parquet(f"{self.path}/docs/segment={name}").select("doc_id")
             dead = written if dead is None else dead.unionByName(written)
         tombstones = list(self.manifest["tombstones"])
         if old and dead is not None:
-            dead.distinct().write.parquet(f"{self.path}/tombstones/{name}")
-            tombstones.append({"name": name, "segments": old})
+            dead.distinct().write.parquet(f"{self.path}/tombstones/segment={name}")
+            tombstones.append(name)
         self._commit(old + [name] * buffered, tombstones)
         self.buffer = self.gone = None
+        if len(self.manifest["segments"]) > self.compact_after or len(self.manifest["tombstones"]) > 2 * self.compact_after:
+            self.compact()
+
+    def _name(self) -> str:
+        return f"{self.manifest['version'] + 1}_{uuid.uuid4().hex}"
 
     def compact(self) -> None:
-        """Rewrite what is live as one segment and drop the tombstones; nothing is analysed again."""
-        index, name = self.index(), uuid.uuid4().hex
+        """Rewrite what is live as one segment and drop the deletions; nothing is analysed again."""
+        index, name = self.index(), self._name()
         if index is not None:
-            index.save(f"{self.path}/segments/{name}")
+            index.save(self.path, f"segment={name}")
             self._commit([name], [])
 
     def segment_count(self) -> int:
         return len(self.manifest["segments"])
 
     def vacuum(self) -> list[str]:
-        """Delete segments, tombstones and unfinished manifests that the manifest doesn't name; returns their names. Not while another reads or writes."""
+        """Delete segments, deletions and manifests that the manifest doesn't name; returns their names. Not while another reads or writes."""
         fs, path = self._fs()
-        named = {"segments": set(self.manifest["segments"]), "tombstones": {t["name"] for t in self.manifest["tombstones"]}, "manifests": {f"{self.manifest['version']}.json"}}
+        segments = {f"segment={n}" for n in self.manifest["segments"]}
+        named = {t: segments for t in (*TABLES, "entries")} | {"tombstones": {f"segment={n}" for n in self.manifest["tombstones"]}, "manifests": {f"{self.manifest['version']}.json"}}
         removed = []
         for folder, keep in named.items():
             where = path(f"{self.path}/{folder}")

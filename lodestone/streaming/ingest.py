@@ -10,14 +10,13 @@ from lodestone.sources.segments import SegmentedStore
 
 
 def ingest(stream: DataFrame, store: SegmentedStore, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
-    """Write a stream of (doc_id, text, ...) into a store. Within a batch the greatest ``order`` of an id wins, and a later batch replaces an earlier one.
+    """Write a stream of (doc_id, text, ...) into a store. Within a batch the greatest ``order`` of an id wins, see latest(), and a later batch replaces an earlier one.
 
     A batch that is repeated after a failure replaces its own documents, so the store's content is the same as if it had run once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = latest(batch, order) if order else batch.dropDuplicates(["doc_id"])
-        store.add(batch)
+        store.add(latest(batch, order))
         store.flush()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -2,18 +2,24 @@
 
 import json
 import zipfile
+from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.functions.distance import edit_distance
 from lodestone.functions.stemmers import porter, russian
-from lodestone.functions.text import default_analyzer
+from lodestone.functions.text import LOWERCASE, STRIP, Analyzer, default_analyzer, english_analyzer, stemmer, stop_words
 from lodestone.functions.varbyte import decode_gaps, encode_gaps
 from lodestone.operators import evaluation, highlight
 from lodestone.operators.fielded import FieldedEngine
+from lodestone.operators.index import Index, postings
 from lodestone.operators.ranking import TfIdf
 from lodestone.operators.search import Engine
-from lodestone.operators.semantic import vector_search
+from lodestone.operators.semantic import Predictor, SemanticEngine, mean_pool, predicted_search, vector_search
 from lodestone.plans.query import ParseError
 from lodestone.sources import files
 from lodestone.sources.segments import SegmentedStore
@@ -119,8 +125,13 @@ def test_fielded(spark):
 def test_facet_and_server(four):
     assert {tuple(r) for r in four.facet("go", "tag").collect()} == {("go", 2)}
     code, found = answer(four, None, "/search?q=rust")
-    assert code == 200 and "b" in json.dumps(found)
-    assert answer(four, None, "/nowhere")[0] == 404
+    assert code == 200 and found["query"] == "rust" and [(h["id"], h["text"][:4]) for h in found["hits"]] == [("b", "rust")]
+    assert json.loads(json.dumps(found)) == found and answer(four, None, "/nowhere")[0] == 404
+    assert answer(four, None, "/searchbool?q=go+AND")[0] == 400 and [h["id"] for h in answer(four, None, "/searchbool?q=tag%3Dgo")[1]["hits"]] == ["a", "c"]
+    assert answer(four, None, "/wildcard?q=sa*")[1]["terms"] == ["safety"] and answer(four, None, "/facet?q=go&field=tag")[1] == {"query": "go", "field": "tag", "counts": {"go": 2}}
+    assert answer(four, None, "/stats")[1]["documents"] == 4 and answer(four, None, "/snippet?id=zz&q=go")[0] == 404 and "**go**" in answer(four, None, "/snippet?id=a&q=go")[1]["snippet"]
+    assert answer(four, None, "/suggest?q=memmory")[1] == {"query": "memmory", "suggestion": "memory", "changed": True} and answer(four, None, "/semantic?q=x")[0] == 404
+    assert [h["id"] for h in answer(four, SemanticEngine.build(four.index.docs), "/semantic?q=python+is+simple&limit=1")[1]["hits"]] == ["d"]
 
 
 def test_analysis():
@@ -132,6 +143,77 @@ def test_analysis():
     assert russian("памятью") == russian("памяти") and russian("ёлка") == russian("елка") and russian("latin") == "latin"
 
 
+#: Published examples of the stemmer's steps, each word with what all steps make of it.
+PORTER = """caresses caress|ponies poni|ties ti|caress caress|cats cat|feed feed|agreed agre|plastered plaster|bled bled|motoring motor|sing sing|conflated conflat|troubled troubl|sized size|hopping hop|tanned tan
+falling fall|hissing hiss|fizzed fizz|failing fail|filing file|happy happi|sky sky|relational relat|conditional condit|rational ration|digitizer digit|vietnamization vietnam|predication predic|operator oper
+feudalism feudal|decisiveness decis|hopefulness hope|callousness callous|triplicate triplic|formative form|formalize formal|electrical electr|hopeful hope|goodness good|revival reviv|allowance allow
+inference infer|airliner airlin|gyroscopic gyroscop|adjustable adjust|defensible defens|irritant irrit|replacement replac|adjustment adjust|dependent depend|adoption adopt|communism commun|activate activ
+effective effect|bowdlerize bowdler|probate probat|rate rate|cease ceas|controll control|roll roll"""
+
+
+def test_published_stems():
+    pairs = dict(p.split() for p in PORTER.replace("\n", "|").split("|"))
+    assert {w: porter(w) for w in pairs} == pairs
+    groups = "книга книги книгу книгой|читать читал читала|красивый красивая красивое красивые|важнейший важнее|области область областью"
+    assert all(len({russian(w) for w in g.split()}) == 1 for g in groups.split("|")[:1] + groups.split("|")[2:3] + groups.split("|")[4:])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBс.,-!$ \n\u00a0\u0085\u2003éΣ'’_1"), max_size=14), min_size=1, max_size=30))
+def test_text_is_cut_alike_in_columns_and_in_python(spark, texts):
+    analyzer = default_analyzer()
+    rows = table(spark, [(str(i), t) for i, t in enumerate(texts)]).select("doc_id", analyzer.column(F.col("text")).alias("tokens")).collect()
+    assert {r.doc_id: r.tokens for r in rows} == {str(i): analyzer(t) for i, t in enumerate(texts)}
+
+
+def test_postings_by_hand(spark):
+    analyzer = Analyzer((LOWERCASE, STRIP, stemmer(lambda w: w.rstrip("s")), stop_words(["b"])))  # a filter after a stemmer, and one that drops words
+    rows = postings(table(spark, [("x", "Cats, cat bs dog cats"), ("y", ""), ("z", None), ("w", "b")]), analyzer).collect()
+    assert {(r.doc_id, r.term, r.length, r.tf, tuple(r.positions)) for r in rows} == {("x", "cat", 4, 3, (0, 1, 3)), ("x", "dog", 4, 1, (2,))}
+    assert [r.doc_id for r in Engine.build(table(spark, [("x", "Cats, cat bs dog cats"), ("y", "dogs")]), analyzer).search("dogs b").collect()] == ["y", "x"]
+
+
+def test_of_an_ids_rows_the_last_counts(spark):
+    rows = [("a", "old words", 1), ("a", "new text", 2), ("b", "words", 1), ("a", "older", 0)]
+    docs = table(spark, rows, "doc_id string, text string, at int").repartition(3)
+    for engine in (Engine(Index.build(docs, order="at")), Engine.build(table(spark, [("a", "x", 5)], "doc_id string, text string, at int")).add(docs, "at")):
+        assert ids(engine.search("words")) == ["b"] and ids(engine.search("new")) == ["a"] and engine.index.stats().first().n_docs == 2
+    twice = Engine.build(table(spark, [("a", "one two"), ("a", "one three"), ("a", "one three")]))  # without an order the greatest row
+    assert twice.index.stats().first().n_docs == 1 and ids(twice.search("two")) == ["a"] and ids(twice.search("three")) == []
+
+
+def test_metadata_in_a_map(spark):
+    docs = files.front_matter(table(spark, [("a", "---\nyear: 2012\ntag: go\n---\ngo fast"), ("b", "---\nyear: 2009\n---\ngo slow"), ("c", "go")]))
+    engine = Engine.build(docs)
+    assert ids(engine.search_bool("go AND year>2010")) == ["a"] and ids(engine.search_bool("tag=go OR year=2009")) == ["a", "b"] and ids(engine.search_bool("tag!=go")) == []
+    assert {tuple(r) for r in engine.facet("go", "year").collect()} == {("2012", 1), ("2009", 1)} and engine.facet("go", "none").count() == 0
+
+
+def test_sample_corpus(spark):
+    engine = Engine.build(files.sample_corpus(spark))
+    assert set(ids(engine.search_bool("harbour OR herring"))) == {"harbour", "herring", "lighthouse"} and ids(engine.search_bool("year>2010 AND topic=food")) == ["bread", "хлеб"]
+
+
+def test_semantic_engine(spark):
+    docs = table(spark, [("a", "red apples and pears"), ("b", "fast cars"), ("c", "red cars")])
+    engine = SemanticEngine.build(docs)
+    assert ids(engine.ranked_ids("fast cars", 1)) == ["b"] and engine.count().first().n == 3
+    changed = engine.delete("b").add(table(spark, [("a", "very fast cars"), ("d", "pears")]))
+    assert ids(changed.search("fast cars", 1)) == ["a"] and changed.count().first().n == 3
+    assert np.allclose(mean_pool(np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [[1.0, 1.0]] * 3]), np.array([[1, 1, 0], [0, 0, 0]])), [[0.6, 0.8], [0.0, 0.0]])
+
+
+def test_predictor_with_stems_and_thesaurus(spark):
+    docs = table(spark, [("1", "memory leaks and leaking memory"), ("2", "memory safety leak"), ("3", "fast memory")])
+    predictor = Predictor.build(docs, english_analyzer(), {"trouble": ["leaks", "absent"]})
+    assert [tuple(r) for r in predictor.predict("trouble", 3).collect()] == [("leak", 2.0)]
+    scores = {r.word: r.score for r in predictor.predict("memories", 10).collect()}
+    assert scores == {"memory": 1.0, "leak": 2 / 3, "safety": 0.5, "fast": 0.5} and predictor.predict("nothing here").count() == 0
+    grown = predictor.add(table(spark, [("4", "memory safety")]))
+    assert {r.word: r.score for r in grown.predict("memory", 10).collect()}["safety"] == 2 / 3
+    assert [r.doc_id for r in predicted_search(Engine.build(docs, english_analyzer()), predictor, "trouble", 5).collect()] == ["1", "2"]
+
+
 @pytest.mark.parametrize("a, b, far", [("og", "go", 1), ("srach", "search", 2), ("поикс", "поиск", 1), ("", "ab", 2), ("same", "same", 0)])
 def test_edit_distance(a, b, far):
     assert edit_distance(a, b) == far
@@ -171,6 +253,11 @@ def test_files(spark, tmp_path):
     found = {r.doc_id: r.text for r in files.load(spark, str(tmp_path)).collect()}
     assert found["a"] == "# Title\ntext" and found["b"] == "one & two" and "Hello" in found["c"] and "world" in found["c"]
     assert found["d"].split() == ["first", "second"]
+    (tmp_path / "e.docx").write_bytes(b"PK not a zip")
+    (tmp_path / "f.exe").write_text("text")
+    loaded = {r.doc_id: r for r in files.load(spark, str(tmp_path)).collect()}
+    assert loaded["e"].text is None and loaded["e"].error == "not a readable docx file" and loaded["a"].error is None and loaded["f"].text == "text"
+    assert {r.doc_id for r in files.load(spark, str(tmp_path), every=False).collect()} == set("abcde")
 
 
 def test_segments(spark, tmp_path):
@@ -187,6 +274,24 @@ def test_segments(spark, tmp_path):
     assert ids(Engine(SegmentedStore(spark, str(tmp_path)).index()).search("rust")) == []
 
 
+def test_many_segments_are_one_scan_and_compact(spark, tmp_path):
+    store, plain = SegmentedStore(spark, str(tmp_path), compact_after=3), {}
+    for i in range(6):
+        rows = [(str(k), f"word{k} round{i}", i) for k in range(i, i + 3)]
+        plain |= {k: t for k, t, _ in rows}
+        store.add(table(spark, rows, "doc_id string, text string" + (", extra int" if i % 2 else "") if i % 2 else "doc_id string, text string, other int"))
+        store.flush()
+    store.remove("4")
+    store.flush()
+    plain.pop("4")
+    assert store.segment_count() <= 3
+    index = SegmentedStore(spark, str(tmp_path)).index()
+    assert {r.doc_id: r.text for r in index.docs.collect()} == plain and {r.term: r.df for r in index.term_stats().collect()} == dict(Counter(w for t in plain.values() for w in t.split()))
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2
+    assert store.vacuum() and {r.doc_id for r in SegmentedStore(spark, str(tmp_path)).index().docs.collect()} == set(plain)
+
+
 def test_stream(spark, tmp_path):
     table(spark, [("1", "go"), ("2", "rust go")]).write.parquet(str(tmp_path / "in"))
     store = SegmentedStore(spark, str(tmp_path / "store"))
