@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -18,7 +19,7 @@ from lodestone.llm.common import filesystem, new_path
 WORD = re.compile(r"[^\W_]+")
 #: Words in a row that count as a leak; an item of fewer words is looked for whole if it has at least SHORTEST words.
 WINDOW, SHORTEST = 8, 5
-#: Bytes of benchmark text in one automaton, which has about a node a word and place in a window: some 70 bytes of memory a byte of text were measured. A larger benchmark is
+#: Bytes of benchmark text in one automaton, which has a node for each digit of a window: some 130 bytes of memory a byte of text were measured. A larger benchmark is
 #: split over several automata, each with a pass of its own.
 PART_BYTES = 2 << 20
 #: Characters of a text that are cut into words at a time.
@@ -31,52 +32,62 @@ def normalise(text: str) -> str:
 
 
 class Machine:
-    """All windows of some items in one automaton, whose symbols are words: a window ends -> its number of words, and the items that have it."""
+    """All windows of some items in one automaton: a window's end -> its number of words, and the items that have it.
+
+    A word of the items is written as its number, two or three digits to the base 256 with signs of their own for each place, so that no node has many branches, which are looked through one by one;
+    any other word is as many zeros.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, shortest: int = SHORTEST):
-        self.window, self.numbers, found = window, {}, {}
+        self.window, cut = window, []
         for item, text in items:
             words = normalise(text).split(" ")
             n = min(window, len(words))
-            if n < min(shortest, window) or words == [""]:
-                continue
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            for i in range(len(ids) - n + 1):
-                own = found.get(at := tuple(ids[i : i + n]), ())
+            if n >= min(shortest, window) and words != [""]:
+                cut.append((item, n, words))
+        distinct = dict.fromkeys(w for _, _, words in cut for w in words)
+        self.digits = 2 if len(distinct) <= 1 << 16 else 3
+        self.signs = {w: "".join(chr(1 + (place << 8) + (i >> 8 * place & 255)) for place in range(self.digits)) for i, w in enumerate(distinct)}
+        found: dict[str, tuple[int, ...]] = {}
+        for item, n, words in cut:
+            written = "".join(map(self.signs.__getitem__, words))
+            for i in range(0, len(written) - (n - 1) * self.digits, self.digits):
+                own = found.get(at := written[i : i + n * self.digits], ())
                 if item not in own[-1:]:
                     found[at] = (*own, item)
-        self.automaton, self.owners = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
+        self.automaton, self.owners = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         same: dict[tuple[int, ...], int] = {}
         for pattern, own in found.items():
             if own not in same:
                 same[own] = len(self.owners)
                 self.owners.append(tuple(sorted(set(own))))
-            self.automaton.add_word(pattern, same[own] * (window + 1) + len(pattern))
+            self.automaton.add_word(pattern, same[own] * (window + 1) + len(pattern) // self.digits)
         if found:
             self.automaton.make_automaton()
 
-    def _numbers(self, text: str) -> list[int]:
-        get, normal = self.numbers.get, normalise(text)
-        return [get(w, 0) for w in normal.split(" ")] if normal else []
+    def _written(self, text: str) -> str:
+        """A text's words in the automaton's signs."""
+        normal = normalise(text)
+        return "".join(map(self.signs.get, normal.split(" "), repeat("\0" * self.digits))) if normal else ""
 
     def finds(self, text: str) -> bool:
         """Whether any window is in a text."""
-        tail: list[int] = []
-        for a, b in _pieces(text) if self.numbers else ():
-            ids = tail + self._numbers(text[a:b])
-            if next(self.automaton.iter(tuple(ids)), None) is not None:
+        tail, keep = "", (self.window - 1) * self.digits
+        for a, b in _pieces(text) if self.signs else ():
+            written = tail + self._written(text[a:b])
+            if next(self.automaton.iter(written), None) is not None:
                 return True
-            tail = ids[-self.window + 1 :] if self.window > 1 else []
+            tail = written[max(0, len(written) - keep) :]
         return False
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, words) of each maximal run of matching windows; start and end are characters of the text itself."""
         runs: dict[int, list[list[int]]] = {}
-        tail, tail_places, before = [], [], 0  # the last words of the piece before, their places, and how many words came before them
-        for a, b in _pieces(text) if self.numbers else ():
+        tail, tail_places, before = "", [], 0  # the last words of the piece before, their places, and how many words came before them
+        for a, b in _pieces(text) if self.signs else ():
             piece = text[a:b]
-            ids = tail + self._numbers(piece)
-            hits = [h for h in self.automaton.iter(tuple(ids)) if h[0] >= len(tail)] if ids else []
+            written = tail + self._written(piece)
+            hits = [(end // self.digits, value) for end, value in self.automaton.iter(written) if end >= len(tail)]
             places = tail_places + [(a + m.start(), a + m.end()) for m in WORD.finditer(piece)] if hits or b < len(text) else []
             for at, value in hits:
                 owners, n = divmod(value, self.window + 1)
@@ -87,9 +98,10 @@ class Machine:
                         own[-1][0], own[-1][2] = last, places[at][1]
                     else:
                         own.append([last, places[at - n + 1][0], places[at][1], n, last])
-            keep = min(self.window - 1, len(ids))
-            before += len(ids) - keep
-            tail, tail_places = ids[len(ids) - keep :], places[len(places) - keep :] if places else []
+            n = len(written) // self.digits
+            keep = min(self.window - 1, n)
+            before += n - keep
+            tail, tail_places = written[(n - keep) * self.digits :], places[len(places) - keep :] if places else []
         return sorted((item, start, end, last - first + n) for item, own in runs.items() for last, start, end, n, first in own)
 
 
