@@ -43,6 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     twice = np.zeros(len(kinds), bool)
     if len(kinds) > 1:
         twice[1:] = ((kinds[1:] == 1) | (kinds[1:] == 2)) & (data[1:] == data[:-1])
+        twice[offsets[:-1][offsets[:-1] < len(data)]] = False  # not across texts
     words = np.maximum(count(starts), 1)
     again = np.zeros(len(kinds), bool)
     first = np.flatnonzero(starts)
@@ -204,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, prior:
     """Fit on at most ``positives`` documents that labels call good, the first by hash of doc_id, and on all documents as the unlabelled rows.
 
     Features of all documents are written once; each step of the fit is a pass over them that brings a few sums a task to the driver. Where labels of
-    a document differ, it isn't trusted. Null ids, texts and labels are no examples; of an id with several texts one counts.
+    a document differ, it isn't trusted. Null ids, texts and labels are no examples; of an id with several texts the one with the least features counts.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = materialise(_featured(texts).groupBy("doc_id").agg(F.min("x").alias("x")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "features")
@@ -250,7 +251,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns, in one pass."""
+    """The rows of docs that classify() keeps, with all their columns, in one pass.
+
+    A null text goes, an empty one stays or goes by its score, like any other; rows with a null id are judged like any other, repeated rows stay or go together, and an empty table gives none.
+    """
     mean, scale, weights, bias = model.mean, model.scale, model.weights, model.bias
     at_text = docs.columns.index("text")
 
