@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import filesystem
+
 #: Where the public vocabulary lies and how texts are cut before merging. Both are parameters of encode().
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,23 +96,35 @@ class Bpe:
 
 
 @lru_cache(maxsize=4)
+def parse(data: bytes, pattern: str = PATTERN) -> Bpe:
+    """The vocabulary that a rank file's bytes hold (base64 bytes and rank a line)."""
+    return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern)
+
+
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    files, inner = filesystem(path)
+    with files.open_input_stream(inner) as lines:
+        return lines.read()
+
+
 def load(path: str = VOCABULARY, pattern: str = PATTERN) -> Bpe:
-    """The vocabulary of a rank file (base64 bytes and rank a line); a worker reads it once."""
-    with open(path, "rb") as lines:
-        return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+    """The vocabulary of a rank file, which may lie in any file system."""
+    return parse(read_vocabulary(path), pattern)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every text, decoded again: (doc_id, n_tokens, token_ids, round_trip).
 
-    One narrow pass, no shuffle. A text is cut by ``pattern``; each piece is merged by rank. round_trip tells whether
+    One narrow pass, no shuffle. The vocabulary is read by the driver and broadcast, one or two megabytes, so executors need no file. A text is cut by ``pattern``; each piece is merged by rank. round_trip tells whether
     the ids' strings, concatenated, are the text's bytes. A null text gives null in the three columns; an empty text
     no ids, 0 and true. A text of any length is encoded whole. Repeated rows give repeated rows, a null id stays null;
     an empty table gives none. Further columns are ignored, whatever their names.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary, pattern)
+        bpe = parse(shared.value, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import PATTERN, VOCABULARY, load
+from lodestone.llm.bpe import PATTERN, VOCABULARY, parse, read_vocabulary
 from lodestone.llm.common import filesystem, new_path
 
 #: Keys of one index bucket on average, and bits a key at each level of its hash.
@@ -90,8 +90,9 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("store", pat_str=pattern, mergeable_ranks=load(path, pattern).ranks, special_tokens={})
+def encoder(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
+    """A public encoder, which gives the same ids as operator 10 in less time."""
+    return tiktoken.Encoding("store", pat_str=pattern, mergeable_ranks=parse(vocabulary, pattern).ranks, special_tokens={})
 
 
 def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,10 +103,12 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
     shuffled. A null key has no place in a keyed store and is left out; a null text is stored as no ids, like an empty one. Repeated rows are each stored, a long
     text whole; an empty table writes nothing; further columns are ignored.
     """
-    width = 2 if len(load(vocabulary, pattern).strings) <= 1 << 16 else 4
+    data = read_vocabulary(vocabulary)
+    width = 2 if len(parse(data, pattern).strings) <= 1 << 16 else 4
+    shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encode = encoder(shared.value, pattern).encode_ordinary
         files, folder = filesystem(uri)
         shard, out, at = f"{uuid.uuid4().hex}.u{8 * width}", None, 0
         try:
@@ -113,13 +116,13 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
                 places, counts, digests = [], [], []
                 for text in batch.column(1).to_pylist():
                     ids = np.array(encode(text) if text else [], f"<u{width}")
-                    data = ids.tobytes()
+                    payload = ids.tobytes()
                     if out is None:
                         out = files.open_output_stream(f"{folder}/{shard}")
-                    out.write(data)
+                    out.write(payload)
                     places.append(at)
                     counts.append(len(ids))
-                    digests.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
+                    digests.append(int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(counts, pa.int32()), pa.array(digests, pa.int64())], ["key", "shard", "at", "n_tokens", "digest"])
         finally:
