@@ -133,3 +133,20 @@ def test_vectors(spark):
     none = vectors.where(F.lit(False))
     assert bit_sliced.search(none).count() == 0 and bit_sliced.search(vectors, none).count() == 0 and bit_sliced.search(none, vectors).count() == 0
     assert {(r.vec_id, r["rank"], r.neighbour_id) for r in bit_sliced.search(vectors, vectors.where("vec_id = 2"), k=1).collect()} == {(2, 1, 1)}
+
+
+def test_pipeline_on_awkward_tables(spark, awkward, labels, benchmark, tmp_path):
+    """Nulls, repeated rows, long and empty texts and clashing columns through all stages; then empty tables."""
+    import corpus_pipeline
+
+    for name, tables in (("some", (awkward, labels, benchmark)), ("none", (docs(spark, []), labels.limit(0), benchmark.limit(0)))):
+        for table, df in zip(("documents", "labels", "benchmark"), tables):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    before = awkward
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, f"{tmp_path}/some")
+        assert after.columns == awkward.columns and after.exceptAll(before).count() == 0  # only whole rows, as they were
+        before = spark.createDataFrame(after.collect(), awkward.schema)
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert rows.columns == ["doc_id", "n_tokens", "token_ids", "round_trip"] and sorted(str(r.doc_id) for r in rows.collect()) == sorted(str(r.doc_id) for r in before.collect())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

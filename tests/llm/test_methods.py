@@ -430,6 +430,48 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
+def plain_features(text):
+    """The features of one text, byte by byte."""
+    data = text.encode()
+    sets = [b"#$%&*+/<=>@\\^_`{|}~[]", b"!?", bytes(range(65, 91)), b"0123456789", b" \t\r", b".,;:'\"()-", b"\n"]
+    symbols, marks, upper, digits, white, stops, lines = (sum(c in s for c in data) for s in sets)
+    words = re.split(rb"[ \t\r\n]+", data)
+    words = [w for w in words if w]
+    n, size = max(len(words), 1), max(len(data), 1)
+    solid = max(size - white - lines, 1)
+    twice = sum(a == b and a in sets[0] + sets[1] for a, b in zip(data, data[1:]))
+    again = sum(sorted(a) == sorted(b) for a, b in zip(words, words[1:]))  # the same letters, as words are told apart by the sum over their bytes
+    return [symbols / n, marks / n, upper / solid, digits / solid, white / size, twice / n, np.log1p(solid / n), np.log1p(size), lines / n, stops / n, again / n]
+
+
+def test_quality_scores_by_hand(spark, sf_dir, texts):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    odd = {-1: "!", -2: "!! !! ok ok ok", -3: "", -4: "one\n\ntwo two\ttwo", -5: "!", -6: "##a##"}
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(sorted(odd.items()), "doc_id long, text string")).coalesce(1).sort("doc_id")  # neighbours that begin and end alike
+    model = quality.train(docs, labels)
+    rows = quality.classify(docs, model).collect()
+    assert len(rows) == len(texts) + len(odd)
+    for r in rows:
+        x = np.array(plain_features((texts | odd)[r.doc_id]))
+        z = sum(w * min(6, max(-6, (v - m) / s)) for v, m, s, w in zip(x, model.mean, model.scale, model.weights)) + model.bias
+        assert abs(z - r.score) < 1e-6 and r.keep == (r.score >= 0)
+    assert {r.doc_id for r in quality.kept(docs, model).collect()} == {r.doc_id for r in rows if r.keep}
+
+
+def test_quality_risk_by_definition():
+    """The fitted weights against many others under the risk as it is written, without rounding off its corner."""
+    rng = np.random.default_rng(6)
+    positive, unlabelled = rng.normal(1, 1, (300, 2)), np.vstack((rng.normal(1, 1, (300, 2)), rng.normal(-1, 1, (300, 2))))
+    model = quality.fit(positive, unlabelled, prior=0.5)
+
+    def risk(w, b):
+        loss = lambda x, y: np.mean(1 / (1 + np.exp(y * (np.clip((x - model.mean) / model.scale, -6, 6) @ w + b))))
+        return 0.5 * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - 0.5 * loss(positive, -1)) + 0.5e-4 * w @ w
+
+    own = risk(model.weights, model.bias)
+    assert all(risk(model.weights + rng.normal(0, s, 2), model.bias + rng.normal(0, s)) > own - 2e-3 for s in (0.05, 0.3, 2.0) for _ in range(200))
+
+
 def test_quality_risk_needs_no_negatives():
     rng = np.random.default_rng(5)
     positive, hidden, negative = (rng.normal(m, 1, (n, 2)) for m, n in ((2, 800), (2, 700), (-2, 300)))
