@@ -7,14 +7,22 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.storage import new_path
+from lodestone.sources.storage import new_path, remove
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing that was written."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing that is still to be computed reads them."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, utf8
+from lodestone.llm.common import discard, materialise, utf8
 from lodestone.llm.token_store import mix
 
 #: Words of a gram, least Jaccard similarity (half: a copy with a tenth of its words changed, scattered, has about 0.57 with its original; two such copies have about 0.36 with each other and are linked by the original alone), and how many global orders a candidate must pass.
@@ -351,8 +351,8 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
     return rows.repartition(buckets, "bucket").mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
-def verified(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """(a, b, overlap, na, nb) of the pairs that share a prefix gram in every other order as well and are similar.
+def gathered(pairs: DataFrame) -> DataFrame:
+    """(hub, part, a, b): the place where each pair is verified, written.
 
     Pairs gather around the least neighbour of their first set, so members of one group meet in one place and each set travels there once. Where the sets of one
     side have more than CELL_GRAMS grams together, the pairs are cut into a grid by both sets' hashes, so a set with many partners and a group of many sets are shared out alike.
@@ -366,7 +366,11 @@ def verified(sigs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, or
     cells = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / F.lit(CELL_GRAMS)).cast("long")
     load = sides.groupBy("hub").agg(cells(0).alias("ka"), cells(1).alias("kb"))
     part = (F.pmod(F.xxhash64("a"), "ka") * F.col("kb") + F.pmod(F.xxhash64("b"), "kb")).alias("part")
-    placed = materialise(placed.join(load, "hub").select("hub", part, "a", "b"), "pairs")
+    return materialise(placed.join(load, "hub").select("hub", part, "a", "b"), "pairs")
+
+
+def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
+    """(a, b, overlap, na, nb) of the pairs that share a prefix gram in every other order as well and are similar; ``placed`` is what gathered() gave."""
     needed = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("set_id")).distinct().toDF("own_hub", "own_part", "set_id")
     holder = sigs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     needed = needed.join(holder, "set_id").join(sigs.select("set_id", "doc_id", "n", "tokens", "classes"), ["set_id", "doc_id"])
@@ -425,7 +429,9 @@ def _similar(docs: DataFrame, threshold: float, gram: int, orders: int) -> tuple
     buckets = _buckets(docs)
     sigs = materialise(signatures(docs, buckets, threshold, gram), "signatures")
     pairs = materialise(candidates(sigs, buckets, threshold), "candidates")
-    similar = materialise(verified(sigs, pairs, threshold, orders), "similar")
+    placed = gathered(pairs)
+    similar = materialise(verified(sigs, placed, threshold, orders), "similar")
+    discard(pairs, placed)
     return sigs.select("doc_id", "set_id", "check").distinct(), similar
 
 
@@ -487,8 +493,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     while (now := state(edges)) != before:
-        before = now
-        edges = materialise(stars(stars(edges, True), False), "edges")
+        before, older = now, edges
+        edges = materialise(stars(stars(older, True), False), "edges")
+        discard(older)
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, utf8
+from lodestone.llm.common import discard, materialise, utf8
 
 #: Bound of the trusted positives, the first by hash of the id; the unlabelled side is all documents.
 POSITIVES = 8_000
@@ -226,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, prior:
         parts = [r.sums for r in rows.select("x", "half").mapInArrow(run, "sums array<double>").collect()]
         return np.sum(np.array(sorted(parts)), axis=0) if parts else f(np.zeros((0, len(NAMES))), np.zeros(0, int))
 
-    return fit_sums(np.array([r.x for r in trusted], float).reshape(-1, len(NAMES)), total, prior)
+    model = fit_sums(np.array([r.x for r in trusted], float).reshape(-1, len(NAMES)), total, prior)
+    discard(rows)
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

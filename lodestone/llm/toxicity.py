@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import discard, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bound of training: labelled documents, the first by hash of the id. Kinds into which the toxic ones among them are split.
@@ -202,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), batch.column(3)], ["doc_id", "label", "words", "fold"])
 
     rows = sets.select("doc_id", "label", "words", "fold").mapInArrow(keep, schema + ", fold int").sort("doc_id").collect()
+    discard(sets, counts)
     toxic, folds = np.array([r.label for r in rows], bool), np.array([r.fold for r in rows])
 
     def matrix(chosen: list[str]) -> Words:
