@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _number(value: int) -> bytes:
@@ -46,6 +48,35 @@ def encoded_bytes(positions: Column) -> Column:
     return number_bytes(F.size(positions)) + F.aggregate(gaps, F.lit(0), lambda total, gap: total + number_bytes(gap))
 
 
-@F.udf(T.BinaryType())
-def encode_gaps_column(positions):
-    return None if positions is None else encode_gaps(positions)
+def encode_lists(lists: pa.Array) -> pa.Array:
+    """encode_gaps() of each list of a batch, all numbers at once; a null gives null."""
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).astype(np.int64)
+    flat, n = lists.flatten().to_numpy().astype(np.int64), len(lists)
+    heads = np.cumsum(sizes + 1) - sizes - 1
+    numbers = np.zeros(len(flat) + n, np.int64)
+    rest = np.ones(len(numbers), bool)
+    rest[heads] = False
+    numbers[heads], numbers[rest] = sizes, flat
+    follows = rest[1:] & rest[:-1]  # neither a count nor a first position
+    numbers[1:][follows] = (numbers[1:] - numbers[:-1])[follows]
+    widths = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(widths)
+    out = np.zeros(int(ends[-1]) if n else 0, np.uint8)
+    for k in range(5):
+        here = widths > k
+        out[(ends - widths)[here] + k] = numbers[here] >> 7 * k & 127
+    out[ends - 1] |= 128
+    offsets = np.append(0, ends[heads + sizes] if n else []).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.binary()), coded)
+
+
+def encode_gaps_column(positions: Column | str) -> Column:
+    """encode_lists() over Arrow batches."""
+
+    @F.arrow_udf("binary")
+    def run(lists: pa.Array) -> pa.Array:
+        return encode_lists(lists)
+
+    return run(positions)

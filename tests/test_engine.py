@@ -5,6 +5,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.distance import edit_distance
 from lodestone.functions.stemmers import porter, russian
 from lodestone.functions.text import LOWERCASE, STRIP, Analyzer, default_analyzer, english_analyzer, stemmer, stop_words
-from lodestone.functions.varbyte import decode_gaps, encode_gaps
+from lodestone.functions.varbyte import decode_gaps, encode_gaps, encode_lists
 from lodestone.operators import evaluation, highlight
 from lodestone.operators.fielded import FieldedEngine
 from lodestone.operators.index import Index, postings
@@ -224,6 +225,14 @@ def test_gap_code(positions):
     assert decode_gaps(encode_gaps(positions)) == positions and len(encode_gaps(positions)) < 8 * max(1, len(positions)) + 3
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.integers(0, 2**28), max_size=6, unique=True).map(sorted)), max_size=8))
+def test_gap_code_of_a_batch(lists):
+    batch = pa.array([None, *lists, None], pa.list_(pa.int32()))
+    for part in (batch, batch.slice(1), batch.slice(0, 1), batch.slice(2, 0)):
+        assert encode_lists(part).to_pylist() == [None if x is None else encode_gaps(x) for x in part.to_pylist()]
+
+
 def test_highlights():
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     assert "**eight**" in highlight.snippet(text, ["eight"], default_analyzer())
