@@ -12,13 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import filesystem
+from lodestone.llm.common import filesystem, lean, slices
 
 #: Where the public vocabulary lies and how texts are cut before merging. Both are parameters of encode().
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pieces that a worker remembers; longer pieces than CACHED_CHARS are never kept. Neither changes a result.
-CACHE, CACHED_CHARS = 400_000, 48
+CACHE, CACHED_CHARS = 200_000, 48
 
 
 class Bpe:
@@ -125,25 +125,23 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = parse(shared.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                values, ends, good = bytearray(), [0], []
-                texts = batch.column(1).to_pylist()
-                for text in texts:
-                    if text is None:
-                        good.append(None)
-                    else:
-                        ids = bpe.packed(text)
-                        good.append(bpe.decode(np.frombuffer(ids, np.int32).tolist()) == text.encode("utf-8"))
-                        values += ids
-                    ends.append(len(values) // 4)
-                nulls = np.array([t is None for t in texts])
-                offsets = pa.array(ends, pa.int32(), mask=np.append(nulls, False))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(values, np.int32)))
-                counts = pa.array(np.diff(ends).astype(np.int32), mask=nulls)
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, pa.array(good, pa.bool_())], ["id", "n_tokens", "token_ids", "round_trip"])
+        for batch in slices(batches):
+            values, ends, good = bytearray(), [0], []
+            texts = batch.column(1).to_pylist()
+            for text in texts:
+                if text is None:
+                    good.append(None)
+                else:
+                    ids = bpe.packed(text)
+                    good.append(bpe.decode(np.frombuffer(ids, np.int32).tolist()) == text.encode("utf-8"))
+                    values += ids
+                ends.append(len(values) // 4)
+            nulls = np.array([t is None for t in texts])
+            offsets = pa.array(ends, pa.int32(), mask=np.append(nulls, False))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(values, np.int32)))
+            counts = pa.array(np.diff(ends).astype(np.int32), mask=nulls)
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, pa.array(good, pa.bool_())], ["id", "n_tokens", "token_ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens int, token_ids array<int>, round_trip boolean")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"id {kind}, n_tokens int, token_ids array<int>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import filesystem, new_path
+from lodestone.llm.common import filesystem, lean, new_path, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Words in a row that count as a leak; an item of fewer words is looked for whole if it has at least SHORTEST words.
@@ -153,7 +153,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             own = machine(uri, part, window, shortest)
-            for batch in batches:
+            for batch in slices(batches):
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     if text:
@@ -163,7 +163,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
                 item, start, end, words = zip(*rows) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32())], ["id", "item_id", "start_char", "end_char", "n_words"])
 
-        one = base.mapInArrow(run, f"id {kind}, item_id long, start_char int, end_char int, n_words int")
+        one = base.mapInArrow(lean(run), f"id {kind}, item_id long, start_char int, end_char int, n_words int")
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 
@@ -179,10 +179,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             own = machine(uri, part, window, shortest)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not text or not own.finds(text) for text in batch.column(at_text).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -10,15 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, utf8
+from lodestone.llm.common import discard, lean, materialise, slices, tidy, utf8
 from lodestone.llm.token_store import mix
 
 #: Words of a gram, least Jaccard similarity (half: a copy with a tenth of its words changed, scattered, has about 0.57 with its original; two such copies have about 0.36 with each other and are linked by the original alone), and how many global orders a candidate must pass.
 GRAM, THRESHOLD, ORDERS = 3, 0.5, 3
 #: Bytes of text hashed at a time, grams of one block of documents, bytes of text whose grams make one bucket, pairs held before they are handed on.
-PIECE, BLOCK_GRAMS, BUCKET_BYTES, HELD_PAIRS = 2 << 20, 2_000_000, 16 << 20, 2_000_000
+PIECE, BLOCK_GRAMS, BUCKET_BYTES, HELD_PAIRS = 1 << 19, 1_000_000, 16 << 20, 1_000_000
 #: Sets of one gram that are paired in one place, and grams of one side of a cell of pairs that is verified in one place.
-CHUNK, CELL_GRAMS = 8_192, 2_000_000
+CHUNK, CELL_GRAMS = 8_192, 1_000_000
 #: Documents to drop that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -164,7 +164,7 @@ def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "block", "ids", "sizes", "sets", "checks", "held", "tok", "ref", "more", "times"])
 
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy()
             data, offsets = utf8(pc.utf8_lower(batch.column(1).cast(pa.large_string())))
             at = 0
@@ -183,7 +183,19 @@ def _blocks(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
             yield flush()
 
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
-    return keyed.mapInArrow(run, "bucket int, block long, ids binary, sizes binary, sets binary, checks binary, held binary, tok binary, ref binary, more binary, times binary")
+    return keyed.mapInArrow(lean(run), "bucket int, block long, ids binary, sizes binary, sets binary, checks binary, held binary, tok binary, ref binary, more binary, times binary")
+
+
+def roomy(group):
+    """The same function of a group, tidy() after one that takes room."""
+
+    def tidied(*args):
+        out = group(*args)
+        if sum(a.nbytes for a in args if isinstance(a, pa.Table)) > 4 << 20:
+            tidy()
+        return out
+
+    return tidied
 
 
 def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
@@ -202,6 +214,7 @@ def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram
         """One row a block: blocks of one name hold the same rows in the same order, as where a file was read twice, and count as one."""
         return table.take(pa.array(np.sort(np.unique(table["block"].to_numpy(), return_index=True)[1])))
 
+    @roomy
     def count(table: pa.Table) -> pa.Table:
         bucket, kept = table["bucket"][0].as_py(), ("block", "ids", "sizes", "sets", "checks", "held", "more", "times")
         told, table = (once(table.filter(x)) for x in (table["ids"].is_valid(), table["ids"].is_null()))
@@ -226,6 +239,7 @@ def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 11]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "ids", "sizes", "sets", "checks", "held", "more", "times", "tok", "ref", "cls", "more_cls"])
 
+    @roomy
     def gather(table: pa.Table) -> pa.Table:
         told = table.filter(table["ids"].is_valid())
         ids, sizes, sets, checks, held, times = (_arrays(told[c], k)[0] for c, k in (("ids", np.int64), ("sizes", np.int32), ("sets", np.int64), ("checks", np.int64), ("held", np.uint16), ("times", np.uint32)))
@@ -245,8 +259,8 @@ def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram
         return pa.table(columns, ["doc_id", "set_id", "check", "n", "n_prefix", "tokens", "classes"])
 
     replies = "block long, bucket int, ids binary, sizes binary, sets binary, checks binary, held binary, more binary, times binary, tok binary, ref binary, cls binary, more_cls binary"
-    counted = _blocks(docs, buckets, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, replies)
-    return counted.groupBy("block").applyInArrow(gather, "doc_id long, set_id long, check long, n int, n_prefix int, tokens binary, classes binary")
+    counted = _blocks(docs, buckets, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: count(table), replies)
+    return counted.groupBy("block").applyInArrow(lambda table: gather(table), "doc_id long, set_id long, check long, n int, n_prefix int, tokens binary, classes binary")
 
 
 def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,7 +271,7 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of copies in one task the first is enough
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             fresh = []
             for i, s in enumerate(batch.column(0).to_pylist()):
                 if s not in seen:
@@ -347,8 +361,8 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
         if held:
             yield emit()
 
-    rows = sigs.select("set_id", "n", "n_prefix", "tokens", "classes").mapInArrow(spread, "bucket int, sets binary, sizes binary, tok binary, ref binary, place binary, side binary")
-    return rows.repartition(buckets, "bucket").mapInArrow(pair, "a long, b long, na int, nb int").distinct()
+    rows = sigs.select("set_id", "n", "n_prefix", "tokens", "classes").mapInArrow(lean(spread), "bucket int, sets binary, sizes binary, tok binary, ref binary, place binary, side binary")
+    return rows.repartition(buckets, "bucket").mapInArrow(lean(pair), "a long, b long, na int, nb int").distinct()
 
 
 def gathered(pairs: DataFrame) -> DataFrame:
@@ -421,7 +435,7 @@ def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, o
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, k) for k in kinds]
         return pa.table([pa.array(c) for c in columns], ["a", "b", "overlap", "na", "nb"])
 
-    return placed.groupBy("hub", "part").cogroup(needed.groupBy("own_hub", "own_part")).applyInArrow(verify, "a long, b long, overlap int, na int, nb int")
+    return placed.groupBy("hub", "part").cogroup(needed.groupBy("own_hub", "own_part")).applyInArrow(lambda key, left, right: roomy(verify)(key, left, right), "a long, b long, overlap int, na int, nb int")
 
 
 def _similar(docs: DataFrame, threshold: float, gram: int, orders: int) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, utf8
+from lodestone.llm.common import discard, lean, materialise, slices, utf8
 
 #: Bound of the trusted positives, the first by hash of the id; the unlabelled side is all documents.
 POSITIVES = 8_000
@@ -192,13 +192,11 @@ def fit_sums(positive: np.ndarray, total, prior: float | None = None, steps: int
 
 def _featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                x = features(*utf8(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
+        for batch in slices(batches):
+            x = features(*utf8(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, prior: float | None = None) -> Model:
@@ -223,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, prior:
             if own is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-        parts = [r.sums for r in rows.select("x", "half").mapInArrow(run, "sums array<double>").collect()]
+        parts = [r.sums for r in rows.select("x", "half").mapInArrow(lean(run), "sums array<double>").collect()]
         return np.sum(np.array(sorted(parts)), axis=0) if parts else f(np.zeros((0, len(NAMES))), np.zeros(0, int))
 
     model = fit_sums(np.array([r.x for r in trusted], float).reshape(-1, len(NAMES)), total, prior)
@@ -241,15 +239,13 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(mean, scale, weights, bias, 0)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                score = own.score(features(*utf8(batch.column(1))))
-                null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, mask=null), pa.array((score >= 0) & ~null)], ["doc_id", "score", "keep"])
+        for batch in slices(batches):
+            score = own.score(features(*utf8(batch.column(1))))
+            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, mask=null), pa.array((score >= 0) & ~null)], ["doc_id", "score", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, keep boolean")
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
@@ -262,11 +258,9 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(mean, scale, weights, bias, 0)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                text = batch.column(at_text)
-                good = (own.score(features(*utf8(text))) >= 0) & ~text.is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in slices(batches):
+            text = batch.column(at_text)
+            good = (own.score(features(*utf8(text))) >= 0) & ~text.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(lean(run), docs.schema)

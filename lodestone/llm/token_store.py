@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import PATTERN, VOCABULARY, parse, read_vocabulary
-from lodestone.llm.common import filesystem, new_path
+from lodestone.llm.common import filesystem, lean, new_path, slices
 
 #: Keys of one index bucket on average, and bits a key at each level of its hash.
 BUCKET_KEYS, GAMMA = 10_000, 2
@@ -112,7 +112,7 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
         files, folder = filesystem(uri)
         shard, out, at = f"{uuid.uuid4().hex}.u{8 * width}", None, 0
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 places, counts, digests = [], [], []
                 for text in batch.column(1).to_pylist():
                     ids = np.array(encode(text) if text else [], f"<u{width}")
@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = VOCABULARY, patter
     files, folder = filesystem(uri)
     files.create_dir(folder, recursive=True)
     keyed = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].alias("text")).where("key is not null")
-    keyed.mapInArrow(run, "key long, shard string, at long, n_tokens int, digest long").write.parquet(f"{uri}/locations")
+    keyed.mapInArrow(lean(run), "key long, shard string, at long, n_tokens int, digest long").write.parquet(f"{uri}/locations")
     return docs.sparkSession.read.parquet(f"{uri}/locations")
 
 
@@ -243,7 +243,7 @@ def lookup(keys: DataFrame, uri: str, key_col: str = "doc_id") -> DataFrame:
     region = F.when(F.col("shard").isNotNull(), F.xxhash64("shard", F.floor(F.col("at") / REGION))).otherwise(F.xxhash64("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = places.repartition(tasks, region, "turn").sortWithinPartitions("shard", "at")
-    return ordered.mapInArrow(fetch, "key long, found boolean, shard string, at long, n_tokens int, payload binary").withColumnRenamed("key", key_col)
+    return ordered.mapInArrow(lean(fetch), "key long, found boolean, shard string, at long, n_tokens int, payload binary").withColumnRenamed("key", key_col)
 
 
 def ids(payload: bytes, n_tokens: int) -> list[int]:

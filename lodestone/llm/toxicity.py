@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise
+from lodestone.llm.common import discard, lean, materialise, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bound of training: labelled documents, the first by hash of the id. Kinds into which the toxic ones among them are split.
@@ -246,15 +246,13 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(chain.vocabulary)}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                p = _score(batch.column(1).to_pylist(), chain, number)
-                null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, mask=null) for c in p.T.copy()), pa.array((p[:, -1] >= threshold) & ~null)], ["doc_id", *names, "is_toxic"])
+        for batch in slices(batches):
+            p = _score(batch.column(1).to_pylist(), chain, number)
+            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, mask=null) for c in p.T.copy()), pa.array((p[:, -1] >= threshold) & ~null)], ["doc_id", *names, "is_toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} double' for n in names)}, is_toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, {', '.join(f'{n} double' for n in names)}, is_toxic boolean")
 
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -266,11 +264,9 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(chain.vocabulary)}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                text = batch.column(at_text)
-                toxic = (_score(text.to_pylist(), chain, number)[:, -1] >= threshold) & ~text.is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(~toxic))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in slices(batches):
+            text = batch.column(at_text)
+            toxic = (_score(text.to_pylist(), chain, number)[:, -1] >= threshold) & ~text.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(lean(run), docs.schema)
