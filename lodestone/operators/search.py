@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.distance import within
 from lodestone.functions.text import Analyzer
 from lodestone.operators import highlight
 from lodestone.operators.index import Index
@@ -103,7 +106,15 @@ class Engine:
         return F.map_from_entries(F.collect_list(F.when(F.col("term").isin(sorted(terms)), F.struct("term", "positions")))).alias("places")
 
     def hits(self, text: str) -> DataFrame:
-        """(doc_id, score) of a plain query, without order: documents with any of its words or, if it has phrases, with all phrases."""
+        """(doc_id, score) of a plain query, without order: documents with any of its words or, if it has phrases, with all phrases.
+
+        The terms near to the words of a fuzzy query stay in the plan; only phrases and windows need them by name.
+        """
+        if self.fuzzy and not isinstance(self.ranker, Proximity):
+            exact = q.compile_plain(text, self.index.analyzer)
+            if exact.terms and not exact.phrases:
+                near = [within(F.col("term"), F.lit(w), self.fuzzy) for w in dict.fromkeys(exact.terms)]
+                return self._scored_rows(self.index.postings.join(self.index.terms().where(reduce(or_, near)), "term"))
         plain = self.compile(text)
         if not plain.terms:
             return self._nothing()
@@ -165,7 +176,10 @@ class Engine:
         test = q.wildcard(pattern)
         if test is None:
             return self._nothing()
-        rows = self.index.postings.where(test)
+        return self._scored_rows(self.index.postings.where(test))
+
+    def _scored_rows(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, score) over postings, each term as if asked for once, however many terms these are."""
         df = rows.groupBy("term").agg(F.count("*").alias("df"))
         matched = rows.join(df, "term").crossJoin(self.index.corpus_stats()).withColumn("qtf", F.lit(1))
         return matched.groupBy("doc_id").agg(F.sum(self.ranker.term_score()).alias("score"))
@@ -216,8 +230,6 @@ def fuzzy_documents(docs: DataFrame, vocabulary: DataFrame, most: int, analyzer:
 
     Distances are computed between distinct tokens and terms only.
     """
-    from lodestone.functions.distance import within
-
     at = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode_outer(analyzer.column(F.col("text"))).alias("position", "token"))
     words = at.select("token").where("token is not null").distinct()
     vocabulary = vocabulary.select("term").distinct().withColumn("size", F.length("term"))
