@@ -14,10 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.sources.storage import new_path, remove
 
 
+#: Whether the shuffles of a query are deleted when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing that was written."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing that was written. The shuffles that led to it are deleted at once."""
+    path, conf = new_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
