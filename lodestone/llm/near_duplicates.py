@@ -17,8 +17,10 @@ from lodestone.llm.token_store import mix
 GRAM, THRESHOLD, ORDERS = 3, 0.5, 3
 #: Bytes of text hashed at a time, grams of one block of documents, bytes of text whose grams make one bucket, pairs held before they are handed on.
 PIECE, BLOCK_GRAMS, BUCKET_BYTES, HELD_PAIRS = 1 << 19, 1_000_000, 16 << 20, 1_000_000
-#: Sets of one gram that are paired in one place, and grams of one side of a cell of pairs that is verified in one place.
-CHUNK, CELL_GRAMS = 8_192, 1_000_000
+#: Documents from which on a gram is hot, sets of one home, grams of one side of a cell of pairs that is verified in one place, and grams that a set counts for there at least.
+HOT, CHUNK, CELL_GRAMS, LEAST_GRAMS = 16, 1_024, 1_000_000, 512
+#: Kinds of what is sent of a gram and a home.
+ROWS = (np.int32, np.int32, np.int32, np.int64, np.int64)
 #: Documents to drop that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -108,6 +110,24 @@ def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _homes(sets: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, classes: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """The home of each set, by the grams of its prefix (tokens and classes, of the set ref).
+
+    A set with a hot gram lives with those of about its size whose hot gram of least hash is the same, so the texts of one template share a few homes; homes are cut by the sets' hashes
+    into about CHUNK sets and a quarter of CELL_GRAMS. Any other set lives alone. A home is only where sets are compared together: which one it is changes no result.
+    """
+    home = mix(sets.view(np.uint64), 20)
+    hot = np.flatnonzero(classes >= 8 * np.log2(HOT))
+    if len(hot):
+        hot = hot[np.lexsort((mix(tokens[hot], 21), ref[hot]))]
+        hot = hot[np.append(True, ref[hot[1:]] != ref[hot[:-1]])]
+        own = ref[hot]
+        octave, most = np.floor(np.log2(sizes[own])), np.exp2((classes[hot] + 1.0) / 8)  # most: an upper bound of the gram's frequency
+        parts = np.ceil(np.maximum(most / CHUNK, most * np.exp2(octave + 3) / CELL_GRAMS)).astype(np.uint64)
+        home[own] = mix(mix(tokens[hot], 22) + (octave.astype(np.uint64) << np.uint64(40)) + mix(sets[own].view(np.uint64), 23) % parts, 24)
+    return home.view(np.int64)
+
+
 def pack(ordered: np.ndarray) -> bytes:
     """Distinct ascending 64-bit numbers: the first, then the bytes that the gaps need, plane by plane."""
     if not len(ordered):
@@ -203,7 +223,7 @@ def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """(doc_id, set_id, check, n, n_prefix, tokens, classes) of each document that shares a gram of its prefix with another.
+    """(doc_id, set_id, check, home, n, n_prefix, tokens, classes) of each document that shares a gram of its prefix with another.
 
     Every gram of every document is counted: blocks of documents send their distinct grams, packed, to the gram's bucket, and get back those that occur in
     several documents, with their frequency. Grams of a single document come first in each order and can match nothing, so they never move again.
@@ -255,20 +275,29 @@ def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram
         prefix = np.clip(_prefix(sizes.astype(np.int64), threshold) - (sizes - shared), 0, shared)
         some = np.flatnonzero(prefix)
         cell = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
-        columns = [pa.array(ids[some]), pa.array(sets[some]), pa.array(checks[some]), pa.array(sizes[some]), pa.array(prefix[some].astype(np.int32)), cell(tokens), cell(cls)]
-        return pa.table(columns, ["doc_id", "set_id", "check", "n", "n_prefix", "tokens", "classes"])
+        first = np.repeat(cuts[some] - (np.cumsum(prefix[some]) - prefix[some]), prefix[some]) + np.arange(prefix[some].sum())
+        homes = _homes(sets[some], sizes[some], tokens[first], cls[first], np.repeat(np.arange(len(some)), prefix[some]))
+        columns = [pa.array(ids[some]), pa.array(sets[some]), pa.array(checks[some]), pa.array(homes), pa.array(sizes[some]), pa.array(prefix[some].astype(np.int32)), cell(tokens), cell(cls)]
+        return pa.table(columns, ["doc_id", "set_id", "check", "home", "n", "n_prefix", "tokens", "classes"])
 
     replies = "block long, bucket int, ids binary, sizes binary, sets binary, checks binary, held binary, more binary, times binary, tok binary, ref binary, cls binary, more_cls binary"
     counted = _blocks(docs, buckets, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: count(table), replies)
-    return counted.groupBy("block").applyInArrow(lambda table: gather(table), "doc_id long, set_id long, check long, n int, n_prefix int, tokens binary, classes binary")
+    return counted.groupBy("block").applyInArrow(lambda table: gather(table), "doc_id long, set_id long, check long, home long, n int, n_prefix int, tokens binary, classes binary")
 
 
 def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of set_ids, a < b, with their sizes, that share a prefix gram in the first order and are near enough in size and in the gram's positions.
+    """Distinct pairs (a, b) of homes, a <= b, of which sets share a prefix gram in the first order and may be near enough in size and in the gram's positions.
 
-    The sets of a frequent gram are cut into chunks of about CHUNK, and each pair of chunks meets in a bucket of its own, so no gram's list comes to one place.
+    Of a gram's list each home is one entry, with the bounds of its sets, so the texts of a template make pairs of a few homes, not of each two texts, however many of their grams they share.
     """
 
+    def bounds(tokens: np.ndarray, homes: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        """A row for each gram and home, of the least size, the greatest, the most grams from the place on, and the number of rows or whether there are several sets."""
+        order = np.lexsort((homes, tokens))
+        tokens, homes = tokens[order], homes[order]
+        starts = np.flatnonzero(np.append(True, (tokens[1:] != tokens[:-1]) | (homes[1:] != homes[:-1])))
+        return [tokens[starts], homes[starts], *(f.reduceat(c[order], starts) for f, c in zip((np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), columns))]
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of copies in one task the first is enough
         for batch in slices(batches, 2_000):
@@ -280,63 +309,41 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
             batch = batch.take(pa.array(fresh, pa.int64()))
             if not batch.num_rows:
                 continue
-            sets, sizes, prefix = (batch.column(i).to_numpy() for i in range(3))
-            texts, kinds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            sets, homes, sizes, prefix = (batch.column(i).to_numpy() for i in range(4))
+            texts = batch.column(4).to_pylist()
             tokens = np.concatenate([np.frombuffer(t, np.uint64, k) for t, k in zip(texts, prefix.tolist())])
-            cls = np.concatenate([np.frombuffer(t, np.uint8, k) for t, k in zip(kinds, prefix.tolist())])
-            ref = np.repeat(np.arange(len(sets), dtype=np.uint32), prefix)
-            edges = np.cumsum(prefix) - prefix
-            shared = np.array([len(x) // 8 for x in texts])
-            place = (np.arange(len(tokens)) - np.repeat(edges, prefix) + np.repeat(sizes - shared, prefix)).astype(np.int32)
-            side = np.zeros(len(tokens), np.uint8)
-            chunks = np.ceil(np.exp2((cls + 1.0) / 8) / CHUNK).astype(np.int64)  # of an upper bound of the gram's frequency
-            if (chunks > 1).any():
-                hot = np.flatnonzero(chunks > 1)
-                cold = np.flatnonzero(chunks == 1)
-                times = chunks[hot]
-                at = np.repeat(hot, times)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                own = (mix(sets[ref[at]].view(np.uint64), 12) % np.repeat(times, times).astype(np.uint64)).astype(np.int64)
-                low, high = np.minimum(own, other), np.maximum(own, other)
-                cells = mix(tokens[at] + mix((low << 32 | high).view(np.uint64), 13), 14)
-                sides = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.uint8)
-                tokens, side = np.concatenate((tokens[cold], cells)), np.concatenate((side[cold], sides))
-                ref, place = np.concatenate((ref[cold], ref[at])), np.concatenate((place[cold], place[at]))
+            ref = np.repeat(np.arange(len(sets)), prefix)
+            unique = sizes - np.array([len(x) // 8 for x in texts])
+            left = (sizes - unique)[ref] - np.arange(len(tokens)) + np.repeat(np.cumsum(prefix) - prefix, prefix)
+            tokens, homes, *rows = bounds(tokens, homes[ref], sizes[ref], sizes[ref], left, sets[ref], sets[ref])
             bucket = (mix(tokens, 9) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
+            cells = []
             for b in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[b] : cuts[b + 1]]
-                who, own = np.unique(ref[at], return_inverse=True)
-                rows.append((int(b), sets[who].tobytes(), sizes[who].astype(np.int32).tobytes(), tokens[at].tobytes(), own.astype(np.uint32).tobytes(), place[at].tobytes(), side[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], ["bucket", "sets", "sizes", "tok", "ref", "place", "side"])
+                cells.append((int(b), tokens[at].tobytes(), homes[at].tobytes(), *(x[at].astype(k).tobytes() for x, k in zip(rows, ROWS))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells), [pa.int32(), *[pa.binary()] * 7])], ["bucket", "tok", "home", "least", "most", "left", "one", "other"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         for batch in batches:
-            for s, n, t, r, p, d in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
-                ref = np.frombuffer(r, np.uint32)
-                for part, x in zip(parts, (np.frombuffer(t, np.uint64), np.frombuffer(s, np.int64)[ref], np.frombuffer(n, np.int32)[ref], np.frombuffer(p, np.int32), np.frombuffer(d, np.uint8))):
-                    part.append(x)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
+                for part, x, kind in zip(parts, row, (np.uint64, np.int64, *ROWS)):
+                    part.append(np.frombuffer(x, kind))
         if not parts[0]:
             return
-        tokens, sets, sizes, places, sides = map(np.concatenate, parts)
+        tokens, homes, least, most, left_over, one, other = bounds(*map(np.concatenate, parts))
         parts.clear()
-        order = np.lexsort((sets, tokens))
-        tokens, sets, sizes, places, sides = tokens[order], sets[order], sizes[order].astype(np.int64), places[order].astype(np.int64), sides[order]
-        fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1]))  # copies of a set count once
-        tokens, sets, sizes, places, sides = tokens[fresh], sets[fresh], sizes[fresh], places[fresh], sides[fresh]
-        known, first, number = np.unique(sets, return_index=True, return_inverse=True)
-        known_sizes = sizes[first].astype(np.int32)
+        known, number = np.unique(homes, return_inverse=True)
         edges = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
-        lengths, held, n_held = np.diff(edges), [], 0
+        several = number[one < other]
+        lengths, held, n_held = np.diff(edges), [np.unique(several) * (len(known) + 1)], 0
 
         def emit() -> pa.RecordBatch:
             code = np.unique(np.concatenate(held))
             held.clear()
-            a, b = code // len(known), code % len(known)
-            return pa.RecordBatch.from_arrays([pa.array(known[a]), pa.array(known[b]), pa.array(known_sizes[a]), pa.array(known_sizes[b])], ["a", "b", "na", "nb"])
+            return pa.RecordBatch.from_arrays([pa.array(known[code // len(known)]), pa.array(known[code % len(known)])], ["a", "b"])
 
         for length in np.unique(lengths[lengths > 1]):
             runs = edges[:-1][lengths == length]
@@ -346,9 +353,8 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
                 for at in range(0, len(runs), step):
                     left = (runs[at : at + step, None] + np.arange(length - gap)[None, :]).ravel()
                     right = left + gap
-                    na, nb = sizes[left], sizes[right]
-                    most = np.minimum(na - places[left], nb - places[right])
-                    good = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (most >= _least_overlap(na + nb, threshold)) & ((sides[left] != sides[right]) | (sides[left] == 0))
+                    near = (most[left] >= threshold * least[right] - 1e-9) & (most[right] >= threshold * least[left] - 1e-9)
+                    good = near & (np.minimum(left_over[left], left_over[right]) >= _least_overlap(least[left].astype(np.int64) + least[right], threshold))
                     if good.any():
                         held.append(number[left[good]] * len(known) + number[right[good]])
                         n_held += len(held[-1])
@@ -361,37 +367,60 @@ def candidates(sigs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> D
         if held:
             yield emit()
 
-    rows = sigs.select("set_id", "n", "n_prefix", "tokens", "classes").mapInArrow(lean(spread), "bucket int, sets binary, sizes binary, tok binary, ref binary, place binary, side binary")
-    return rows.repartition(buckets, "bucket").mapInArrow(lean(pair), "a long, b long, na int, nb int").distinct()
+    rows = sigs.select("set_id", "home", "n", "n_prefix", "tokens").mapInArrow(lean(spread), "bucket int, tok binary, home binary, least binary, most binary, left binary, one binary, other binary")
+    return rows.repartition(buckets, "bucket").mapInArrow(lean(pair), "a long, b long").distinct()
+
 
+def _members(sigs: DataFrame) -> DataFrame:
+    """(set_id, home, doc_id, m, n): each set once, with the least id and the number of its documents."""
+    return sigs.groupBy("set_id", "home").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("m"), F.max("n").alias("n"))
 
-def gathered(pairs: DataFrame) -> DataFrame:
-    """(hub, part, a, b): the place where each pair is verified, written.
 
-    Pairs gather around the least neighbour of their first set, so members of one group meet in one place and each set travels there once. Where the sets of one
-    side have more than CELL_GRAMS grams together, the pairs are cut into a grid by both sets' hashes, so a set with many partners and a group of many sets are shared out alike.
+def gathered(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(hub, part, a, b): the place where each pair of homes is verified, written.
+
+    Pairs gather around the least neighbour of their first home, so members of one group meet in one place and each set travels there once. Where the sets of one
+    side have more than CELL_GRAMS grams together, the pairs are cut into a grid by both homes' hashes, so a home with many partners and a group of many homes are shared out alike.
     """
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    hub = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"))
+    hub = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("hub"))
     placed = pairs.join(hub, "a")
-    side = lambda k, s, n: F.struct(F.lit(k).alias("side"), F.col(s).alias("s"), F.col(n).alias("n"))
-    sides = placed.select("hub", F.explode(F.array(side(0, "a", "na"), side(1, "b", "nb"))).alias("x")).select("hub", "x.*")
-    sides = sides.groupBy("hub", "side", "s").agg(F.max("n").alias("n"))
+    weights = _members(sigs).groupBy("home").agg(F.sum(F.greatest("n", F.lit(LEAST_GRAMS))).alias("n"))
+    sides = placed.select("hub", F.posexplode(F.array("a", "b")).alias("side", "home")).distinct().join(weights, "home")
     cells = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / F.lit(CELL_GRAMS)).cast("long")
     load = sides.groupBy("hub").agg(cells(0).alias("ka"), cells(1).alias("kb"))
     part = (F.pmod(F.xxhash64("a"), "ka") * F.col("kb") + F.pmod(F.xxhash64("b"), "kb")).alias("part")
     return materialise(placed.join(load, "hub").select("hub", part, "a", "b"), "pairs")
 
 
-def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """(a, b, overlap, na, nb) of the pairs that share a prefix gram in every other order as well and are similar; ``placed`` is what gathered() gave."""
-    needed = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("set_id")).distinct().toDF("own_hub", "own_part", "set_id")
-    holder = sigs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    needed = needed.join(holder, "set_id").join(sigs.select("set_id", "doc_id", "n", "tokens", "classes"), ["set_id", "doc_id"])
+def united(root: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The roots of vertices after edges between them; a root is the least vertex of its component and its own root."""
+    while True:
+        x, y = root[one], root[other]
+        apart = x != y
+        if not apart.any():
+            return root
+        one, other, x, y = one[apart], other[apart], x[apart], y[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, spelt: bool = False) -> DataFrame:
+    """What is similar of the pairs of sets that the pairs of homes hold, each compared once, in one cell; ``placed`` is what gathered() gave.
+
+    Sets without a common prefix gram in one of the other orders are passed over. A row (set_id, root, linked) is of a set in a cell: the set that it is connected with there, and the number of documents
+    of other sets that it is similar to there; so a cell gives no more rows than it has sets. With ``spelt`` a row (a, b, overlap, na, nb) for each similar pair of sets.
+    """
+    needed = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("home")).distinct().toDF("own_hub", "own_part", "home")
+    needed = needed.join(_members(sigs).drop("n"), "home").join(sigs.select("set_id", "doc_id", "n", "tokens", "classes"), ["set_id", "doc_id"])
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets, first = np.unique(right["set_id"].to_numpy(), return_index=True)
-        n = right["n"].to_numpy()[first].astype(np.int64)
+        _, first = np.unique(right["set_id"].to_numpy(), return_index=True)
+        first = first[np.argsort(right["home"].to_numpy()[first], kind="stable")]
+        sets, homes, n, m = (right[c].to_numpy()[first] for c in ("set_id", "home", "n", "m"))
+        n = n.astype(np.int64)
         tokens = [np.frombuffer(right["tokens"][int(i)].as_py(), np.uint64) for i in first]
         classes = [np.frombuffer(right["classes"][int(i)].as_py(), np.uint8) for i in first]
         sizes = np.array([len(t) for t in tokens])
@@ -405,10 +434,10 @@ def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, o
             ranked = number[_ranked(joined, cls, group, order)]
             views.append((ranked[np.arange(len(joined)) - np.repeat(edges, sizes) < np.repeat(prefix, sizes)], prefix))
         views = [(v, c, np.cumsum(c) - c) for v, c in views]
-        a, b = np.searchsorted(sets, left["a"].to_numpy()), np.searchsorted(sets, left["b"].to_numpy())
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        out, flag = [], np.zeros(len(distinct), bool)
+        flag = np.zeros(len(distinct), bool)
+
+        def span(home: int) -> tuple[int, int]:
+            return np.searchsorted(homes, home, "left"), np.searchsorted(homes, home, "right")
 
         def common(x: int, others: np.ndarray, view: tuple) -> np.ndarray:
             values, counts, starts = view
@@ -421,30 +450,50 @@ def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, o
             ends = np.cumsum(sizes)
             return sums[ends] - sums[ends - sizes]
 
+        out, linked, root = [], np.zeros(len(sets), np.int64), np.arange(len(sets))
+        a, b = left["a"].to_numpy(), left["b"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
         cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
         for s, e in zip(cuts[:-1], cuts[1:]):
-            for at in range(s, e, 2000):
-                others = b[at : min(at + 2000, e)]
-                for view in views[1:]:
-                    others = others[common(a[s], others, view) > 0]
-                overlap = common(a[s], others, views[0])
-                good = overlap >= _least_overlap(n[a[s]] + n[others], threshold)
-                if good.any():
-                    out.append((np.full(good.sum(), sets[a[s]]), sets[others[good]], overlap[good].astype(np.int32), np.full(good.sum(), n[a[s]], np.int32), n[others[good]].astype(np.int32)))
+            own, (begin, end) = a[s] in b[s:e], span(a[s])
+            beyond = np.concatenate([np.zeros(0, np.int64), *(np.arange(*span(h)) for h in b[s:e] if h != a[s])])
+            for x in range(begin, end):
+                against = np.concatenate((np.arange(x + 1, end), beyond)) if own else beyond
+                against = against[np.minimum(n[x], n[against]) >= threshold * np.maximum(n[x], n[against]) - 1e-9]
+                for at in range(0, len(against), 2000):
+                    others = against[at : at + 2000]
+                    for view in views[1:]:
+                        others = others[common(x, others, view) > 0]
+                    overlap = common(x, others, views[0])
+                    good = overlap >= _least_overlap(n[x] + n[others], threshold)
+                    if not good.any():
+                        continue
+                    others = others[good]
+                    if spelt:
+                        out.append((np.full(len(others), sets[x]), sets[others], overlap[good].astype(np.int32), np.full(len(others), n[x], np.int32), n[others].astype(np.int32)))
+                    else:
+                        linked[x] += m[others].sum()
+                        linked[others] += m[x]
+                        root = united(root, np.full(len(others), x), others)
+        if not spelt:
+            some = np.flatnonzero(linked)
+            return pa.table([pa.array(sets[some]), pa.array(sets[root[some]]), pa.array(linked[some])], ["set_id", "root", "linked"])
         kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, k) for k in kinds]
         return pa.table([pa.array(c) for c in columns], ["a", "b", "overlap", "na", "nb"])
 
-    return placed.groupBy("hub", "part").cogroup(needed.groupBy("own_hub", "own_part")).applyInArrow(lambda key, left, right: roomy(verify)(key, left, right), "a long, b long, overlap int, na int, nb int")
+    cells = placed.groupBy("hub", "part").cogroup(needed.groupBy("own_hub", "own_part"))
+    return cells.applyInArrow(lambda key, left, right: roomy(verify)(key, left, right), "a long, b long, overlap int, na int, nb int" if spelt else "set_id long, root long, linked long")
 
 
-def _similar(docs: DataFrame, threshold: float, gram: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """(members: distinct doc_id, set_id, check; similar: pairs of sets), both written."""
+def _similar(docs: DataFrame, threshold: float, gram: int, orders: int, spelt: bool) -> tuple[DataFrame, DataFrame]:
+    """(members: distinct doc_id, set_id, check; what verified() gives), both written."""
     buckets = _buckets(docs)
     sigs = materialise(signatures(docs, buckets, threshold, gram), "signatures")
     pairs = materialise(candidates(sigs, buckets, threshold), "candidates")
-    placed = gathered(pairs)
-    similar = materialise(verified(sigs, placed, threshold, orders), "similar")
+    placed = gathered(pairs, sigs)
+    similar = materialise(verified(sigs, placed, threshold, orders, spelt), "similar")
     discard(pairs, placed)
     return sigs.select("doc_id", "set_id", "check").distinct(), similar
 
@@ -459,7 +508,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, orders
     Documents with a null id or text, or without words, are similar to none. Rows with the same id and grams count as one; of an id with several
     texts each is compared, but an id makes no pair with itself. Ties need no rule, as all links are returned. An empty table gives none; further columns are ignored.
     """
-    members, similar = _similar(docs, threshold, gram, orders)
+    members, similar = _similar(docs, threshold, gram, orders, True)
     least = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     score = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard")
     apart = similar.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select("x", "y", score)
@@ -475,19 +524,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, ord
     A document that is similar to none (as are those with a null text, or without words) is a class of its own, with 0. Repeated rows of an id count
     as one; an id with several texts connects their classes, and its links are those of all its texts added up. Rows with a null id are left out, an empty table gives none; further columns are ignored.
     """
-    members, similar = _similar(docs, threshold, gram, orders)
+    members, found = _similar(docs, threshold, gram, orders, False)
     several = members.groupBy("doc_id").agg(F.collect_set("set_id").alias("sets")).where(F.size("sets") > 1)
     within = several.select(F.array_min("sets").alias("a"), F.explode("sets").alias("b")).where("a <> b")
-    roots = components(similar.select("a", "b").union(within))
+    roots = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")).union(within))
     grouped = members.join(roots, members.set_id == roots.v, "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root"))
     first = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     sizes = members.groupBy("set_id").agg(F.count("*").alias("m"))
-    ends = similar.select("a", "b").union(similar.select("b", "a"))
-    links = ends.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.sum("m").alias("linked"))
-    own = sizes.join(links, sizes.set_id == links.a, "left").select("set_id", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("links"))
-    found = grouped.join(first, "root").join(own, "set_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    links = found.groupBy("set_id").agg(F.sum("linked").alias("linked"))
+    own = sizes.join(links, "set_id", "left").select("set_id", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("links"))
+    rows = grouped.join(first, "root").join(own, "set_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
     every = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return every.join(rows, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -118,6 +118,42 @@ def test_near_duplicates_of_hot_grams_and_hubs(spark, monkeypatch):
     assert got.keys() == want.keys() and len(want) > 1000 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def template_texts(n):
+    """Different texts from one template, all but a few similar to most others, beside others."""
+    rng, texts = np.random.default_rng(n), {i: t for i, t in group_texts(9).items()}
+    for i in range(n):
+        texts[1000 + i] = " ".join(w if rng.random() > 0.06 else f"n{rng.integers(10**6)}" for w in [f"form{k}" for k in range(40)])
+    return texts
+
+
+@pytest.mark.parametrize("chunk", [1024, 20])
+def test_near_duplicates_of_a_large_template(spark, monkeypatch, chunk):
+    """No step writes a row for each two texts of a template, and whatever its homes, each link counts once."""
+    texts, written, real = template_texts(250), {}, near_duplicates.materialise
+
+    def materialise(df, label):
+        out = real(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    monkeypatch.setattr(near_duplicates, "materialise", materialise)
+    rows = near_duplicates.classes(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    want = classes(texts)
+    assert {tuple(r) for r in rows} == want and sum(n for _, _, n in want) > 30_000
+    assert chunk < 1024 or all(n <= len(texts) for n in written.values()), written
+
+
+def test_candidates_hold_each_similar_pair(spark):
+    """Pairs of homes are few beside the pairs of texts, and each similar pair lies in one of them."""
+    texts = template_texts(300)
+    sigs = near_duplicates.signatures(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), 8)
+    home = {r.doc_id: r.home for r in sigs.select("doc_id", "home").collect()}
+    pairs = {(r.a, r.b) for r in near_duplicates.candidates(sigs, 8).collect()}
+    want = {tuple(sorted((home[a], home[b]))) for a, b in similar(texts) if texts[a] != texts[b]}
+    assert want <= pairs and len(pairs) < 1000 and len(similar(texts)) > 20_000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50, unique=True))
 def test_packed_numbers_come_back(numbers):
