@@ -21,6 +21,8 @@ PIECE, BLOCK_GRAMS, BUCKET_BYTES, HELD_PAIRS = 1 << 19, 1_000_000, 16 << 20, 1_0
 HOT, CHUNK, CELL_GRAMS, LEAST_GRAMS = 16, 1_024, 1_000_000, 512
 #: Kinds of what is sent of a gram and a home.
 ROWS = (np.int32, np.int32, np.int32, np.int64, np.int64)
+#: Grams of a bucket that are sorted and counted, or of a cell that are ordered or compared, at a time: what is made of them stays as small however large the bucket or cell. It changes no result.
+PART_GRAMS = 1 << 18
 #: Documents to drop that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -222,6 +224,59 @@ def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist() if x is not None]
 
 
+def _cells(column: pa.ChunkedArray, rows: np.ndarray) -> Iterator[memoryview]:
+    """Bytes of those rows, not copied."""
+    return (memoryview(column[i].as_buffer()) for i in rows.tolist())
+
+
+def _parts(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Bounds of runs of sets that have about so many grams together."""
+    run = (np.cumsum(sizes) - sizes) // most
+    return np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(sizes)) if len(sizes) else np.zeros(1, np.int64)
+
+
+def _frequencies(grams: list[np.ndarray], times: list[np.ndarray | None]) -> list[np.ndarray]:
+    """The frequency class of each gram of each array, over all of them. Arrays ascend, and each gram counts as often as its array's times say, or once.
+
+    Grams are counted a range of hashes at a time, so beside the arrays there is only a byte a gram.
+    """
+    out = [np.empty(len(x), np.uint8) for x in grams]
+    some = [x for x in grams if len(x)]
+    if not some:
+        return out
+    low, high = min(int(x[0]) for x in some), max(int(x[-1]) for x in some)
+    parts = -(-sum(map(len, some)) // PART_GRAMS)
+    bounds = np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(x, bounds).tolist(), len(x)] for x in grams])
+    for k in range(parts):
+        spans = [slice(a, b) for a, b in cuts[:, k : k + 2].tolist()]
+        every = np.concatenate([x[own] for x, own in zip(grams, spans)])
+        if not len(every):
+            continue
+        weight = np.concatenate([np.ones(own.stop - own.start, np.int64) if w is None else w[own].astype(np.int64) for w, own in zip(times, spans)])
+        order = np.argsort(every)
+        every = every[order]
+        edges = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        cls = np.minimum(255, 8 * np.log2(np.add.reduceat(weight[order], edges))).astype(np.uint8)
+        mixed = np.empty(len(every), np.uint8)
+        mixed[order] = np.repeat(cls, np.diff(np.append(edges, len(every))))
+        at = 0
+        for x, own in zip(out, spans):
+            x[own] = mixed[at : at + own.stop - own.start]
+            at += own.stop - own.start
+    return out
+
+
+def _numbers(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each token's place among the distinct ones, and how many these are."""
+    order = np.argsort(tokens)
+    ordered = tokens[order]
+    places = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]), dtype=np.int32)
+    out = np.empty(len(tokens), np.int32)
+    out[order] = places
+    return out, int(places[-1]) + 1 if len(places) else 0
+
+
 def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """(doc_id, set_id, check, home, n, n_prefix, tokens, classes) of each document that shares a gram of its prefix with another.
 
@@ -230,32 +285,25 @@ def signatures(docs: DataFrame, buckets: int, threshold: float = THRESHOLD, gram
     tokens and classes hold the shared grams in the first order.
     """
 
-    def once(table: pa.Table) -> pa.Table:
+    def once(blocks: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """One row a block: blocks of one name hold the same rows in the same order, as where a file was read twice, and count as one."""
-        return table.take(pa.array(np.sort(np.unique(table["block"].to_numpy(), return_index=True)[1])))
+        return rows[np.sort(np.unique(blocks[rows], return_index=True)[1])]
 
     @roomy
     def count(table: pa.Table) -> pa.Table:
         bucket, kept = table["bucket"][0].as_py(), ("block", "ids", "sizes", "sets", "checks", "held", "more", "times")
-        told, table = (once(table.filter(x)) for x in (table["ids"].is_valid(), table["ids"].is_null()))
+        names, is_told = table["block"].to_numpy(), table["ids"].is_valid().to_numpy()
+        told, own = (once(names, np.flatnonzero(x)) for x in (is_told, ~is_told))
+        told = table.select(kept).take(pa.array(told))
         rows = [(b, bucket, i, n, s, c, h, m, t, None, None, None, None) for b, i, n, s, c, h, m, t in zip(*(told[c].to_pylist() for c in kept))]
-        if table.num_rows:
-            blocks = table["block"].to_pylist()
-            toks, more, times = [unpack(x) for x in table["tok"].to_pylist()], [unpack(x) for x in table["more"].to_pylist()], _arrays(table["times"], np.uint32)
-            both = [x for pair in zip(toks, more) for x in pair]
-            cuts = np.cumsum([0, *map(len, both)])
-            every = np.concatenate(both)
-            weight = np.concatenate([x for t, w in zip(toks, times) for x in (np.ones(len(t), np.int64), w.astype(np.int64))])
-            order = np.argsort(every)
-            ranked = every[order]
-            edges = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            df = np.empty(len(every), np.int64)
-            df[order] = np.repeat(np.add.reduceat(weight[order], edges), np.diff(np.append(edges, len(ranked))))
-            cls = np.minimum(255, 8 * np.log2(df)).astype(np.uint8)
-            for k, (block, ref) in enumerate(zip(blocks, _arrays(table["ref"], np.uint16))):
-                own = slice(cuts[2 * k], cuts[2 * k + 1])
-                shared = df[own] > 1
-                rows.append((block, bucket, *[None] * 7, pack(toks[k][shared]), ref[shared].tobytes(), cls[own][shared].tobytes(), cls[cuts[2 * k + 1] : cuts[2 * k + 2]].tobytes()))
+        if len(own):
+            toks, more, times, refs = ([read(x) for x in _cells(table[c], own)] for c, read in (("tok", unpack), ("more", unpack), ("times", lambda x: np.frombuffer(x, np.uint32)), ("ref", lambda x: np.frombuffer(x, np.uint16))))
+            classes = _frequencies([x for pair in zip(toks, more) for x in pair], [x for w in times for x in (None, w)])
+            for k, (block, ref) in enumerate(zip(names[own].tolist(), refs)):
+                cls, more_cls = classes[2 * k : 2 * k + 2]
+                shared = cls > 0
+                rows.append((block, bucket, *[None] * 7, pack(toks[k][shared]), ref[shared].tobytes(), cls[shared].tobytes(), more_cls.tobytes()))
+                toks[k] = None
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 11]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "ids", "sizes", "sets", "checks", "held", "more", "times", "tok", "ref", "cls", "more_cls"])
 
@@ -421,20 +469,23 @@ def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, o
         first = first[np.argsort(right["home"].to_numpy()[first], kind="stable")]
         sets, homes, n, m = (right[c].to_numpy()[first] for c in ("set_id", "home", "n", "m"))
         n = n.astype(np.int64)
-        tokens = [np.frombuffer(right["tokens"][int(i)].as_py(), np.uint64) for i in first]
-        classes = [np.frombuffer(right["classes"][int(i)].as_py(), np.uint8) for i in first]
-        sizes = np.array([len(t) for t in tokens])
-        joined, cls = np.concatenate(tokens), np.concatenate(classes)
-        group = np.repeat(np.arange(len(sets)), sizes)
+        joined, cls = (np.concatenate([np.frombuffer(x, kind) for x in _cells(right[c], first)]) for c, kind in (("tokens", np.uint64), ("classes", np.uint8)))
+        sizes = np.array([len(x) for x in _cells(right["classes"], first)])
         edges = np.cumsum(sizes) - sizes
-        distinct, number = np.unique(joined, return_inverse=True)
+        number, distinct = _numbers(joined)
         prefix = np.clip(_prefix(n, threshold) - (n - sizes), 0, sizes)
         views = [(number, sizes)]
+        runs = _parts(sizes, PART_GRAMS)
         for order in range(2, orders + 1):
-            ranked = number[_ranked(joined, cls, group, order)]
-            views.append((ranked[np.arange(len(joined)) - np.repeat(edges, sizes) < np.repeat(prefix, sizes)], prefix))
+            parts = []
+            for i, j in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                own, sizes_own = slice(edges[i], edges[j - 1] + sizes[j - 1]), sizes[i:j]
+                ranked = number[own][_ranked(joined[own], cls[own], np.repeat(np.arange(j - i), sizes_own), order)]
+                parts.append(ranked[np.arange(len(ranked)) - np.repeat(edges[i:j] - edges[i], sizes_own) < np.repeat(prefix[i:j], sizes_own)])
+            views.append((np.concatenate(parts), prefix))
+        del joined, cls
         views = [(v, c, np.cumsum(c) - c) for v, c in views]
-        flag = np.zeros(len(distinct), bool)
+        flag = np.zeros(distinct, bool)
 
         def span(home: int) -> tuple[int, int]:
             return np.searchsorted(homes, home, "left"), np.searchsorted(homes, home, "right")
@@ -461,8 +512,9 @@ def verified(sigs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, o
             for x in range(begin, end):
                 against = np.concatenate((np.arange(x + 1, end), beyond)) if own else beyond
                 against = against[np.minimum(n[x], n[against]) >= threshold * np.maximum(n[x], n[against]) - 1e-9]
-                for at in range(0, len(against), 2000):
-                    others = against[at : at + 2000]
+                runs = _parts(np.maximum(sizes[against], PART_GRAMS // 2000), PART_GRAMS)
+                for i, j in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                    others = against[i:j]
                     for view in views[1:]:
                         others = others[common(x, others, view) > 0]
                     overlap = common(x, others, views[0])

@@ -4,15 +4,18 @@ import gzip
 import os
 import re
 import time
+import tracemalloc
 import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 import corpus_pipeline
@@ -144,6 +147,36 @@ def test_near_duplicates_of_a_large_template(spark, monkeypatch, chunk):
     assert chunk < 1024 or all(n <= len(texts) for n in written.values()), written
 
 
+def test_near_duplicates_hold_little_of_a_bucket_or_cell_at_once(spark, monkeypatch):
+    """Beside what comes in, counting a bucket and verifying a cell take a few bytes a gram: two tasks of an executor share what its heap leaves."""
+    got = {}
+    monkeypatch.setattr(near_duplicates, "roomy", lambda f: got.setdefault(f.__name__, f))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: got.setdefault("cell", f) and self._gd1._df)
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 600)) for _ in range(1200)]
+    copies = [f"{t} {k} {k + 1}" for k, t in enumerate(base)]
+    docs = spark.createDataFrame(list(enumerate(base + copies)), "doc_id long, text string")
+    sigs = near_duplicates.signatures(docs, 1)
+    bucket = near_duplicates._blocks(docs, 1, near_duplicates.GRAM).toArrow()
+
+    def peak(f, *args):
+        tracemalloc.start()
+        try:
+            return f(*args), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    n = 2 * 1200 * 598
+    replies, took = peak(got["count"], bucket)
+    assert replies.num_rows == bucket.num_rows and took < 50 * n
+    tokens = [near_duplicates.gram_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in base + copies]
+    sets = np.arange(2400)
+    cell = pa.table({"set_id": sets, "home": np.zeros(2400, np.int64), "doc_id": sets, "m": np.ones(2400, np.int64), "n": np.array([len(x) for x in tokens], np.int32), "tokens": pa.array([x.tobytes() for x in tokens], pa.binary()), "classes": pa.array([bytes([8]) * len(x) for x in tokens], pa.binary())})
+    near_duplicates.verified(sigs, spark.createDataFrame([(0, 0, 0, 0)], "hub long, part long, a long, b long"))
+    found, took = peak(got["cell"], (0, 0), pa.table({"a": [0], "b": [0]}), cell)
+    assert found.num_rows == 2400 and set(found["linked"].to_pylist()) == {1} and took < 50 * n
+
+
 def test_candidates_hold_each_similar_pair(spark):
     """Pairs of homes are few beside the pairs of texts, and each similar pair lies in one of them."""
     texts = template_texts(300)
