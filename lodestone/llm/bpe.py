@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -17,10 +18,31 @@ from lodestone.llm.common import filesystem, lean, slices
 #: Where the public vocabulary lies and how texts are cut before merging. Both are parameters of encode().
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pieces that a worker remembers; longer pieces than CACHED_CHARS are never kept. Neither changes a result.
+#: Encoded pieces that a worker remembers at most; longer pieces than CACHED_CHARS are never kept. Neither changes a result.
 CACHE, CACHED_CHARS = 200_000, 48
 
 
+class Known(dict):
+    """Ids as int32 of the pieces last used, encoded where they are missing. When half of CACHE is full it becomes the older half, from which pieces that are used again come back, so frequent ones are never encoded anew."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.merge = merge
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.merge(piece.encode("utf-8"))).tobytes()
+            if len(piece) > CACHED_CHARS:
+                return ids
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Bpe:
     """A rank vocabulary: bytes -> id, where a lower id is an earlier merge."""
 
@@ -33,7 +55,7 @@ class Bpe:
         for text, rank in ranks.items():
             self.strings[rank] = text
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece. The heap holds rank and left position of every pair that may merge; an entry whose pair has changed since is stale and skipped."""
@@ -73,23 +95,12 @@ class Bpe:
             i = after[i]
         return out
 
-    def packed(self, text: str) -> bytearray:
+    def packed(self, text: str) -> bytes:
         """Ids of a text as int32."""
-        out, known = bytearray(), self.known
-        get = known.get
-        for piece in self.find(text):
-            ids = get(piece)
-            if ids is None:
-                ids = np.array(self.merge(piece.encode("utf-8")), np.int32).tobytes()
-                if len(piece) <= CACHED_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(bytes(self.packed(text)), np.int32).tolist()
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.strings.__getitem__, ids))

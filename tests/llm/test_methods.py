@@ -394,6 +394,18 @@ def test_bpe_on_all_documents(documents, texts):
     assert len(rows) == len(texts) and all(r.round_trip and r.token_ids == whole.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids) for r in rows)
 
 
+def test_bpe_remembers_pieces_that_come_again(monkeypatch):
+    """However many other pieces come between, a piece in use is merged once; what is remembered stays bounded."""
+    calls, real = [], bpe.Bpe.merge
+    monkeypatch.setattr(bpe.Bpe, "merge", lambda self, piece: calls.append(piece) or real(self, piece))
+    monkeypatch.setattr(bpe, "CACHE", 100)
+    own = bpe.Bpe(bpe.load().ranks)
+    text = "".join(f" x{chr(97 + k % 26) * (1 + k // 26)} zzqqy" for k in range(1000))
+    assert own.encode(text) == encoding().encode_ordinary(text)
+    assert calls.count(b" zzqqy") == 1
+    assert len(own.known) + len(own.known.older) <= 100
+
+
 def test_store_returns_every_document(spark, sf_dir, texts):
     whole = encoding()
     rows = QUERIES["op3_token_store"](spark, sf_dir).collect()
