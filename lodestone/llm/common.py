@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.functions.memory import lean, tidy  # noqa: F401
 from lodestone.sources.storage import new_path, remove
 
 
@@ -63,29 +62,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-@lru_cache(maxsize=1)
-def _trim() -> Callable[[int], int]:
-    try:
-        return ctypes.CDLL(None).malloc_trim
-    except (OSError, AttributeError):  # another C library
-        return lambda pad: 0
-
-
-def tidy() -> None:
-    """Give freed memory back to the system: a worker lives on between tasks, and shares its executor's memory with the JVM."""
-    pa.default_memory_pool().release_unused()
-    _trim()(0)
-
-
-def lean(run: Callable) -> Callable:
-    """The same function over batches, tidy() after it."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            tidy()
-
-    return tidied

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions.distance import edit_distance
+from lodestone.functions.embedding import embed, hashes, py_embed, py_fnv1a
 from lodestone.functions.stemmers import porter, russian
 from lodestone.functions.text import LOWERCASE, STRIP, Analyzer, default_analyzer, english_analyzer, stemmer, stop_words
 from lodestone.functions.varbyte import decode_gaps, encode_gaps, encode_lists
@@ -314,3 +315,30 @@ def test_plan_reads_only_what_it_needs(spark, sf_dir):
 
     plan = queries.engine(spark, sf_dir).index.posting("the").select("doc_id", "tf")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,the)" in plan and "positions" not in plan.split("ReadSchema")[1]
+
+
+def test_texts_without_words_have_no_cells_and_texts_of_an_id_count_as_one(spark, tmp_path):
+    """A text of no words once got a cell for the hash of nothing."""
+    texts = ["", "  ", None, "... !", "one", "One two, two"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, f"word{k} und w{k % 3}") for k in range(1200)] + [(4, "two"), (10, "x" * 300 + " é ß")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    from lodestone import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(i, c): v for i, c, v in con.execute(queries.ORACLE_SQL["hash_embedding"]).fetchall()}
+    got = queries.hash_embedding(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.cell): r.value for r in got} == want and len(got) == len(want) and {i for i, _ in want} == {"4", "5", "9", "10"}
+    vectors = {r.doc_id: r.vector for r in embed(docs).collect()}
+    assert len(vectors) == 8 and all(len(v) == 256 for v in vectors.values()) and not any(vectors[0]) and not any(vectors[2])
+    assert np.allclose(vectors[10], py_embed(rows[-1][1])) and np.allclose(vectors[4], py_embed("one two"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=100), max_size=20))
+def test_hashes_of_a_batch(words):
+    batch = pa.array(["", *words, "w" * 64, "w" * 65])
+    assert hashes(batch).tolist() == [py_fnv1a(w) for w in batch.to_pylist()] and hashes(batch[1:]).tolist() == hashes(batch).tolist()[1:]
