@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import io
 import re
 import zipfile
@@ -25,10 +26,25 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
 
-def html_text(text: Column) -> Column:
-    """Text of a page: scripts, styles and tags give way to a space, references are resolved, runs of blanks become one."""
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def py_unescape_closed(text: str) -> str:
+    """html.unescape() of the references that a semicolon ends; a cut-off one, which browsers take for whole, stays as it is."""
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], text)
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed(texts: pd.Series) -> pd.Series:
+    """py_unescape_closed() in Arrow batches."""
+    return texts.map(lambda t: t if t is None or "&" not in t else py_unescape_closed(t))
+
+
+def html_text(text: Column, closed: bool = False) -> Column:
+    """Text of a page: scripts, styles and tags give way to a space, references are resolved (only those that a semicolon ends, if ``closed``), runs of blanks become one."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>", " "), r"(?s)<[^>]+>", " ")
-    return F.regexp_replace(F.when(bare.contains("&"), unescape(bare)).otherwise(bare), _BLANKS, " ")
+    resolved = unescape_closed(bare) if closed else unescape(bare)
+    return F.regexp_replace(F.when(bare.contains("&"), resolved).otherwise(bare), _BLANKS, " ")
 
 
 def rtf_text(text: Column) -> Column:

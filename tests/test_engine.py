@@ -317,6 +317,23 @@ def test_plan_reads_only_what_it_needs(spark, sf_dir):
     assert "EqualTo(term,the)" in plan and "positions" not in plan.split("ReadSchema")[1]
 
 
+def test_html_references_as_in_the_sql(spark, oracle, tmp_path):
+    """A title is cut in the middle of a reference; the loader takes it for whole, as browsers do."""
+    pages = ["<h1>a&amp;&amp</h1> &copy;&middot; &quot;x&quot", "&lt;b&gt; &#x27;&amp;lt; &a &am;", None, "&amp", ""]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    import duckdb
+
+    from lodestone import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(con.execute(queries.ORACLE_SQL["html_extract"]).fetchall())
+    assert {r.page_id: r.text for r in queries.html_extract(spark, str(tmp_path)).collect()} == want and want[0] == " a&&amp ©· \"x&quot"
+    assert files.py_unescape_closed("&notit; &nbsp;&#65;&#x41 &amp;amp;") == "&notit;  A&#x41 &amp;"
+    assert rows.where("page_id = 3").select(files.html_text(F.col("html"))).first()[0] == "&"
+
+
 def test_texts_without_words_have_no_cells_and_texts_of_an_id_count_as_one(spark, tmp_path):
     """A text of no words once got a cell for the hash of nothing."""
     texts = ["", "  ", None, "... !", "one", "One two, two"]
