@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.memory import Remembered, lean, runs, small_batches
 from lodestone.functions.text import Analyzer, default_analyzer
 from lodestone.functions.varbyte import encoded_bytes
 from lodestone.sources.storage import remove
@@ -30,55 +31,47 @@ def tokens(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     return docs.select("doc_id", analyzer.column(F.col("text")).alias("tokens"))
 
 
-#: Distinct words whose stems a worker remembers.
-REMEMBERED = 1_000_000
-
-
 def entries(cut: DataFrame, analyzer: Analyzer, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, term, length, tf, positions) from rows (keys, tokens): the terms of each row, and one row with a null term and the row's length.
 
-    A row is cut into postings where it lies, in Arrow batches without a loop over tokens and without a shuffle; stems are worked out once for each distinct word. Positions count the tokens that
-    the analyzer leaves, from 0, and length is how many those are.
+    A row is cut into postings where it lies, in Arrow batches without a loop over tokens and without a shuffle, some TOKENS at a time, so that what a worker holds doesn't depend on how long texts are; stems
+    are worked out once for each distinct word in use. Positions count the tokens that the analyzer leaves, from 0, and length is how many those are.
     """
     stems, at = analyzer.stems, len(keys)
 
+    def cut_up(batch: pa.RecordBatch, known: Remembered) -> pa.RecordBatch:
+        lists = batch.column(at)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = pc.dictionary_encode(lists.flatten())
+        terms, code, row = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+        if stems:
+            stemmed = pc.dictionary_encode(pa.array(list(map(known.__getitem__, terms.to_pylist())), pa.string()))
+            terms, number = stemmed.dictionary, stemmed.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            code = number[code]
+            code, row = code[code >= 0], row[code >= 0]
+        lengths = np.bincount(row, minlength=len(sizes))
+        position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        order = np.argsort(row * len(terms) + code, kind="stable")
+        code, row, position = code[order], row[order], position[order]
+        starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, int)
+        every, n = np.arange(len(sizes)), len(sizes)
+        who = np.concatenate((row[starts], every))
+        tf = np.diff(np.append(starts, len(code))) if len(starts) else np.zeros(0, int)
+        spans = np.concatenate((np.append(starts, len(code)), np.full(n, len(code)))) if len(starts) else np.zeros(n + 1, int)
+        null = np.concatenate((np.zeros(len(starts), bool), np.ones(n, bool)))
+        term = terms.cast(pa.string()).take(pa.array(np.concatenate((code[starts], np.zeros(n, int))), mask=null))
+        lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32), mask=np.append(null, False)), pa.array(position.astype(np.int32)))
+        columns = [*(batch.column(k).take(pa.array(who)) for k in range(at)), term, pa.array(lengths[who].astype(np.int32)), pa.array(np.concatenate((tf, np.zeros(n, int))).astype(np.int32), mask=null), lists]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "term", "length", "tf", "positions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        known = Remembered(analyzer.stem)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(at)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            coded = pc.dictionary_encode(lists.flatten())
-            names, code, row = coded.dictionary.to_pylist() if stems else [], coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-            terms = coded.dictionary
-            if stems:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for name in names:
-                    if name not in known:
-                        known[name] = analyzer.stem(name)
-                stemmed = pc.dictionary_encode(pa.array([known[n] for n in names], pa.string()))
-                terms, number = stemmed.dictionary, stemmed.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                code = number[code]
-                code, row = code[code >= 0], row[code >= 0]
-            lengths = np.bincount(row, minlength=len(sizes))
-            position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            order = np.lexsort((position, code, row))
-            code, row, position = code[order], row[order], position[order]
-            starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, int)
-            every, n = np.arange(len(sizes)), len(sizes)
-            who = np.concatenate((row[starts], every))
-            tf = np.diff(np.append(starts, len(code))) if len(starts) else np.zeros(0, int)
-            spans = np.concatenate((np.append(starts, len(code)), np.full(n, len(code)))) if len(starts) else np.zeros(n + 1, int)
-            null = np.concatenate((np.zeros(len(starts), bool), np.ones(n, bool)))
-            term = terms.cast(pa.string()).take(pa.array(np.concatenate((code[starts], np.zeros(n, int))), mask=null))
-            lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32), mask=np.append(null, False)), pa.array(position.astype(np.int32)))
-            columns = [*(batch.column(k).take(pa.array(who)) for k in range(at)), term, pa.array(lengths[who].astype(np.int32)), pa.array(np.concatenate((tf, np.zeros(n, int))).astype(np.int32), mask=null), lists]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "term", "length", "tf", "positions"])
+            for start, end in runs(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy()):
+                yield cut_up(batch.slice(start, end - start), known)
 
     kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys)
-    return cut.select(*keys, "tokens").mapInArrow(run, f"{kinds}, term string, length int, tf int, positions array<int>")
+    return small_batches(cut).select(*keys, "tokens").mapInArrow(lean(run), f"{kinds}, term string, length int, tf int, positions array<int>")
 
 
 def postings(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
