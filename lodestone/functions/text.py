@@ -64,8 +64,12 @@ def _mark(c: str) -> bool:
     return unicodedata.category(c)[0] in "PS"
 
 
+#: What str.split() takes for white space besides.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def py_tokenize(text: str) -> list[str]:
-    return [t for t in _PY_SPACE.split(text) if t]
+    return text.split() if _SEPARATORS.search(text) is None else [t for t in _PY_SPACE.split(text) if t]
 
 
 def py_strip(token: str) -> str:

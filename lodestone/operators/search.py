@@ -199,13 +199,13 @@ class Engine:
         """(doc_id, score, snippet) of a plain query's results."""
         terms = self.compile(text).terms
         shown = self.search(text, limit).join(self.index.docs.select("doc_id", "text"), "doc_id")
-        return top(shown.select("doc_id", "score", highlight.snippet_column(F.col("text"), sorted(set(terms)), self.index.analyzer, options).alias("snippet")))
+        return highlight.with_snippets(top(shown.select("doc_id", "score", "text")), sorted(set(terms)), self.index.analyzer, options)
 
     def highlights(self, text: str, limit: int | None = None, options: highlight.Options = highlight.Options()) -> DataFrame:
         """(doc_id, score, spans) of a plain query's results; spans: array of (text, match)."""
         terms = self.compile(text).terms
         shown = self.search(text, limit).join(self.index.docs.select("doc_id", "text"), "doc_id")
-        return top(shown.select("doc_id", "score", highlight.spans_column(F.col("text"), sorted(set(terms)), self.index.analyzer, options).alias("spans")))
+        return highlight.with_spans(top(shown.select("doc_id", "score", "text")), sorted(set(terms)), self.index.analyzer, options)
 
     def term_occurrences(self, text: str) -> DataFrame:
         """One row (occurrences): how often the query's words occur, a repeated word as often again."""

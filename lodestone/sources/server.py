@@ -8,7 +8,7 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import functions as F
 
-from lodestone.operators.highlight import snippet_column
+from lodestone.operators.highlight import with_snippets
 from lodestone.operators.search import Engine
 from lodestone.operators.semantic import SemanticEngine
 from lodestone.plans.query import ParseError
@@ -46,7 +46,7 @@ def answer(engine: Engine, semantic: SemanticEngine | None, path: str) -> tuple[
                 return 200, {"query": text, "field": field, "counts": {r.value: r.n for r in engine.facet(text, field).collect()}}
             case "/snippet":
                 key = given.get("id", "")
-                shown = engine.index.document(key).limit(1).select(snippet_column(F.col("text"), sorted(set(engine.compile(text).terms)), engine.index.analyzer).alias("snippet")).collect()
+                shown = with_snippets(engine.index.document(key).limit(1).select("text"), sorted(set(engine.compile(text).terms)), engine.index.analyzer).collect()
                 return (200, {"id": key, "query": text, "snippet": shown[0].snippet}) if shown else (404, {"error": "document not found"})
             case "/stats":
                 row = engine.stats().first()

@@ -55,6 +55,16 @@ def test_words_in_use_are_remembered():
     assert asked.count("often") == 1 and len(asked) == 101 and len(known) + len(known.older) <= 20
 
 
+def test_texts_are_looked_at_once_and_after_the_sort(spark):
+    rows = [(str(i), f"some thing {'and more ' * (i % 7)}ending here") for i in range(300)] + [("n", None), ("o", "other words")]
+    index = Index.build(spark.createDataFrame(rows, "doc_id string, text string"), unique=True)
+    for shown, name in ((Engine(index).snippets("thing"), "snippet"), (Engine(index).highlights("thing"), "spans")):
+        plan = shown.select("doc_id", F.explode(F.array(name)).alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.index("MapInArrow") < plan.index("Sort [score")
+        got = shown.collect()
+        assert [r.doc_id for r in got] == [r.doc_id for r in Engine(index).search("thing").collect()] and len(got) == 300 and all("thing" in str(r[name]) for r in got)
+
+
 def test_batches_are_small_where_the_session_does_not_say(spark):
     spark.conf.unset(memory.BATCH[0])
     docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
@@ -64,3 +74,7 @@ def test_batches_are_small_where_the_session_does_not_say(spark):
     Index.build(docs, unique=True)
     assert spark.conf.get(memory.BATCH[0]) == "8m"
     spark.conf.unset(memory.BATCH[0])
+
+
+def test_python_cuts_at_the_same_characters_either_way():
+    assert all(text.py_tokenize(f"a{chr(c)}b") == [t for t in text._PY_SPACE.split(f"a{chr(c)}b") if t] for c in range(0x110000))
