@@ -20,10 +20,14 @@ from lodestone.sources.storage import remove
 def latest(docs: DataFrame, order: str | None = None) -> DataFrame:
     """One row a doc_id: that with the greatest ``order``, which stands for time. Of equals, and without an order, the greatest row by its columns stays, so the choice is the same in every run."""
     rest = [c for c in docs.columns if c not in ("doc_id", order)]
-    comparable = [c for c in rest if not docs.schema[c].dataType.simpleString().startswith("map")]
-    rank = F.struct(*([F.col(order).alias("__order")] if order else []), *(F.col(c).alias(f"__{i}") for i, c in enumerate(comparable)), F.lit(0).alias("__end"))
-    best = docs.groupBy("doc_id").agg(F.max_by(F.struct(*(F.col(c) for c in docs.columns if c != "doc_id")), rank).alias("__row"))
-    return best.select(*(F.col("doc_id") if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns))
+    maps = [c for c in rest if docs.schema[c].dataType.simpleString().startswith("map")]
+    names = {c: f"__{i}" for i, c in enumerate(c for c in rest if c not in maps)} | ({order: "__order"} if order else {})
+    rank = F.struct(*(F.col(c).alias(names[c]) for c in sorted(names, key=lambda c: c != order)), F.lit(0).alias("__end"))
+    if maps:  # which can't be compared, and come along
+        best = docs.groupBy("doc_id").agg(F.max_by(F.struct(rank.alias("rank"), *maps), rank).alias("__row")).select("doc_id", "__row.rank", *(F.col("__row")[c].alias(c) for c in maps))
+    else:
+        best = docs.groupBy("doc_id").agg(F.max(rank).alias("rank"))
+    return best.select(*(F.col("rank")[names[c]].alias(c) if c in names else F.col(c) for c in docs.columns))
 
 
 def tokens(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -31,11 +35,18 @@ def tokens(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     return docs.select("doc_id", analyzer.column(F.col("text")).alias("tokens"))
 
 
+def rank(values: pa.Array) -> np.ndarray:
+    """Each value's place in the order of all; each has its own, equals in the order in which they stand."""
+    out = np.empty(len(values), np.int64)
+    out[pc.array_sort_indices(values).to_numpy()] = np.arange(len(values))
+    return out
+
+
 def entries(cut: DataFrame, analyzer: Analyzer, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, term, length, tf, positions) from rows (keys, tokens): the terms of each row, and one row with a null term and the row's length.
 
     A row is cut into postings where it lies, in Arrow batches without a loop over tokens and without a shuffle, some TOKENS at a time, so that what a worker holds doesn't depend on how long texts are; stems
-    are worked out once for each distinct word in use. Positions count the tokens that the analyzer leaves, from 0, and length is how many those are.
+    are worked out once for each distinct word in use. What comes of a slice lies in the order of terms and, within one, of the last key, as save() sorts it, which spares most of a later sort. Positions count the tokens that the analyzer leaves, from 0, and length is how many those are.
     """
     stems, at = analyzer.stems, len(keys)
 
@@ -51,7 +62,8 @@ def entries(cut: DataFrame, analyzer: Analyzer, keys: tuple[str, ...] = ("doc_id
             code, row = code[code >= 0], row[code >= 0]
         lengths = np.bincount(row, minlength=len(sizes))
         position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        order = np.argsort(row * len(terms) + code, kind="stable")
+        by_term, by_key = rank(terms.cast(pa.string())), rank(batch.column(at - 1))
+        order = np.argsort(by_term[code] * len(sizes) + by_key[row], kind="stable")
         code, row, position = code[order], row[order], position[order]
         starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, int)
         every, n = np.arange(len(sizes)), len(sizes)
@@ -109,13 +121,15 @@ class Index:
     def save(self, path: str, leaf: str = "") -> None:
         """Postings lie sorted by term and document in range partitions, so a query's terms read few row groups and a term of every document is spread over many.
 
-        Texts are analysed once: what comes of them is written as it is, and read again for the ranges and the lengths. Each table goes to its own folder below path, and there to ``leaf``, if given.
+        Texts are analysed once, from the documents as written, so that of an id's rows the last is only looked for once: what comes of them is written as it is, and read again for the ranges and the
+        lengths. Each table goes to its own folder below path, and there to ``leaf``, if given.
         """
         spark, at = self.docs.sparkSession, lambda table: f"{path}/{table}{leaf and '/' + leaf}"
         self.docs.write.mode("overwrite").parquet(at("docs"))
         rows, lengths = self.postings, self.doc_stats
         if self.entries is not None:
-            self.entries.write.mode("overwrite").parquet(at("entries"))
+            docs = spark.read.parquet(at("docs")).select("doc_id", "text")
+            entries(tokens(docs, self.analyzer), self.analyzer).write.mode("overwrite").parquet(at("entries"))
             raw = spark.read.parquet(at("entries"))
             rows, lengths = raw.where("term is not null"), raw.where("term is null").select("doc_id", "length")
         rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))

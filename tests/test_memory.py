@@ -76,5 +76,16 @@ def test_batches_are_small_where_the_session_does_not_say(spark):
     spark.conf.unset(memory.BATCH[0])
 
 
+def test_an_ids_rows_are_compared_once_when_an_index_is_saved(spark, tmp_path):
+    """Entries come from the documents as written; of an id's rows the last was once looked for again."""
+    from lodestone.operators import index
+
+    docs = spark.createDataFrame([("a", "old words", 1), ("a", "new text", 2), ("b", "words", 1)], "doc_id string, text string, at int")
+    seen = spark.sparkContext.accumulator(0)
+    counted = docs.withColumn("text", F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()("text"))
+    index.Index.build(counted, order="at").save(str(tmp_path))
+    assert seen.value == 3 and {(r.term, r.doc_id) for r in Index.load(spark, str(tmp_path)).postings.collect()} == {("new", "a"), ("text", "a"), ("words", "b")}
+
+
 def test_python_cuts_at_the_same_characters_either_way():
     assert all(text.py_tokenize(f"a{chr(c)}b") == [t for t in text._PY_SPACE.split(f"a{chr(c)}b") if t] for c in range(0x110000))
